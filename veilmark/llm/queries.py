@@ -5,25 +5,49 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, warc
 from ._common import table
+from .decontaminate import contaminated
+from .html_text import main_text
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return warc.read_warc(manifest, with_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), max_bits=2, words_in_shingle=3, seed=42)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), window=2048, end_id=1)
 
 
 def queries() -> dict:
-    return {
-        "op5_token_counts": op5_token_counts,
-        "op10_packing": op10_packing,
-    }
+    return {f.__name__: f for f in (op2_warc, op3_quality_rules, op4_html_text, op5_token_counts, op8_simhash, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": warc.oracle_sql(0), "op3_quality_rules": quality.oracle_sql()}
