@@ -83,20 +83,42 @@ def measure(text: str) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, upper + lower, abuse
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measurements, fail_bits: one row per row of ``df``."""
+LEDGER = "__ledger"
+
+
+def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with a struct of measurements in column ``__ledger``: one pass, in which nothing is shuffled."""
+    columns = df.columns
+    at = columns.index(text_col)
+    kind = pa.struct([(n, pa.int64()) for n in NAMES])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [measure(t or "") for t in batch.column(1).to_pylist()]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", *NAMES])
+            rows = [measure(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()]
+            book = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], fields=list(kind)) if rows else pa.array([], kind)
+            return pa.RecordBatch.from_arrays([*batch.columns, book], names=[*columns, LEDGER])
 
         return step
 
-    rows = map_arrow(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")), make, f"doc_id long, {MEASURES}")
-    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i}L ELSE 0L END" for i, (_, rule) in enumerate(RULES))
-    return rows.select("*", F.expr(bits).alias("fail_bits"))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return map_arrow(df, make, f"{own}, {LEDGER} struct<{', '.join(m.replace(' ', ':') for m in MEASURES.split(', '))}>")
+
+
+def fail_bits(prefix: str = "") -> Column:
+    """One bit per rule that fails, each rule evaluated once."""
+    named = [re.sub(r"\b(n_\w+|word_chars)\b", rf"{prefix}\1", rule) for _, rule in RULES]
+    return F.expr(" + ".join(f"CASE WHEN {rule} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(named)))
+
+
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the measurements, fail_bits: one row per row of ``df``."""
+    rows = measured(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")))
+    return rows.select("doc_id", f"{LEDGER}.*").withColumn("fail_bits", fail_bits())
+
+
+def kept_documents(df: DataFrame, version: str = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that a policy's version keeps."""
+    return measured(df, text_col).filter(passes(fail_bits(f"{LEDGER}."), POLICIES[version])).select(*df.columns)
 
 
 def passes(bits: Column, rules: list[str]) -> Column:

@@ -5,17 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, warc
+from . import ngram, private, quality, warc
 from ._common import table
 from .decontaminate import contaminated
 from .html_text import main_text
 from .packing import pack
 from .simhash import near_duplicates
+from .substrings import dedup_substrings
 from .token_counts import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), span=100)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     return warc.read_warc(manifest, with_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -33,6 +38,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digest(private.find_private(table(spark, sf_dir, "documents")))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.train_and_score(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), max_bits=2, words_in_shingle=3, seed=42)
 
@@ -46,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_quality_rules, op4_html_text, op5_token_counts, op8_simhash, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_warc, op3_quality_rules, op4_html_text, op5_token_counts, op6_private_data, op7_kneser_ney, op8_simhash, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

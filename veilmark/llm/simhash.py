@@ -54,17 +54,18 @@ def fingerprint(text: bytes, words_in_shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, words_in_shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint's bits as a signed long."""
+    """doc_id, tell (a hash of the text, to tell rows with one id apart), fp: the fingerprint's bits as a signed long."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column(1).cast(pa.large_binary())
+            column = batch.column(2).cast(pa.large_binary())
             found = np.array([fingerprint(x.as_py() or b"", words_in_shingle, seed) for x in column], np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "tell", "fp"])
 
         return step
 
-    return map_arrow(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")), make, "doc_id long, fp long")
+    text = df[text_col].cast("string")
+    return map_arrow(df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("tell"), text.alias("text")), make, "doc_id long, tell long, fp long")
 
 
 def budgets(max_bits: int) -> list[int]:
@@ -169,13 +170,39 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, max_bits: int = 2, words_in_shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id that links reach."""
+def clustered(df: DataFrame, max_bits: int, words_in_shingle: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tell, fp) of all rows; and (fp, least, root): each distinct fingerprint, its smallest id and its component."""
     prepare(df.sparkSession)
     docs = written(fingerprints(df, words_in_shingle, seed, id_col, text_col), "fingerprints")
     distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return docs, distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(df: DataFrame, max_bits: int = 2, words_in_shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id that links reach."""
+    docs, rooted = clustered(df, max_bits, words_in_shingle, seed, id_col, text_col)
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(group, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, max_bits: int = 2, words_in_shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, but one of each group of near-duplicates: that with the smallest id.
+
+    Null ids come last.  Of rows with one id the one whose text hashes lowest stays; of rows that agree in both, one.
+    """
+    docs, rooted = clustered(df, max_bits, words_in_shingle, seed, id_col, text_col)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tell")
+    heads = docs.groupBy("fp").agg(F.min(first).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("f")).select("f.doc_id", "f.tell")
+    rows = docs.groupBy("doc_id", "tell").agg(F.count("*").alias("n"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tell"] == b["tell"])
+    kept = written(rows.join(heads, same(rows, heads), "left_semi"), "kept")
+    named = df.withColumns({"__id": df[id_col].cast("long"), "__tell": F.xxhash64(df[text_col].cast("string"))})
+
+    def those(kept: DataFrame) -> DataFrame:
+        return named.join(kept.hint("shuffle_hash"), named["__id"].eqNullSafe(kept["doc_id"]) & (named["__tell"] == kept["tell"]), "left_semi")
+
+    if kept.filter("n > 1").isEmpty():
+        return those(kept).select(*df.columns)
+    return those(kept.filter("n = 1")).unionByName(those(kept.filter("n > 1")).dropDuplicates(["__id", "__tell"])).select(*df.columns)
