@@ -2,7 +2,8 @@
 
 A test item that occurs in a text with at most k edits leaves one of any k + 1 pieces of it untouched.  So each
 item is cut into k + 1 pieces, an automaton finds exact hits of all pieces in each text, and only around a hit
-the edit distance is computed, with Myers' bit-parallel recurrence over the whole item.
+the edit distance is computed, with Myers' bit-parallel recurrence: first over two pieces, then over more, and
+over the whole item where these bear the hit out.
 
 Texts and items are compared lower-cased with white space runs as one space.  ``k`` is a share of the item's
 length.  The benchmark is taken in blocks of bounded size, each against all documents.
@@ -52,19 +53,25 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
 
 
 class Item:
+    """An item's text, error budget and the bit masks of its characters."""
+
     def __init__(self, number: int, text: str, k: int):
         self.number, self.text, self.k = number, text, k
+        self.edges = [a for a, _ in pieces(text, k)] + [len(text)]
+        middles = [(a + b) // 2 for a, b in zip(self.edges, self.edges[1:], strict=False)]
+        self.halves = [[(x, y, text[x:y]) for x, y in ((a, m), (m, b))] for a, m, b in zip(self.edges, middles, self.edges[1:], strict=False)]
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def search(self, window: str) -> tuple[int, int]:
-        """Least edit distance between the item and any part of ``window``, and where that part ends (Myers, 1999)."""
-        m = len(self.text)
+    def search(self, window: str, low: int = 0, high: int | None = None) -> tuple[int, int]:
+        """Least edit distance between characters [low, high) of the item and any part of ``window``, and where that
+        part ends (Myers, 1999)."""
+        m = (len(self.text) if high is None else high) - low
         full, top, get = (1 << m) - 1, 1 << (m - 1), self.masks.get
         pv, mv, score, best, end = full, 0, m, m, 0
         for j, c in enumerate(window):
-            eq = get(c, 0)
+            eq = get(c, 0) >> low & full
             xv = eq | mv
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph = mv | ~(xh | pv) & full
@@ -73,12 +80,12 @@ class Item:
                 score += 1
             elif mh & top:
                 score -= 1
+                if score < best:
+                    best, end = score, j + 1
             ph = ph << 1 & full
             mh = mh << 1 & full
             pv = mh | ~(xv | ph) & full
             mv = ph & xv
-            if score < best:
-                best, end = score, j + 1
         return best, end
 
     def begin(self, window: str, end: int) -> int:
@@ -86,6 +93,40 @@ class Item:
         back = Item(0, self.text[::-1], self.k)
         return end - back.search(window[:end][::-1])[1]
 
+    def has_neighbours(self, line: str, piece: int, start: int, a: int, b: int) -> bool:
+        """Pieces a to b but for the hit have at most as many edits as they are many: of their halves, as many are untouched."""
+        budget = need = b - a - 1
+        for p in range(a, b):
+            if p != piece:
+                for low, high, half in self.halves[p]:
+                    if half in line[max(0, start + low - budget) : max(0, start + high + budget)]:
+                        need -= 1
+                        if not need:
+                            return True
+        return False
+
+    def bears_out(self, line: str, piece: int, start: int) -> bool:
+        """Whether a piece that was hit, with the item beginning at ``start``, can belong to an occurrence.
+
+        Pieces are halved again and again.  Of c pieces with at most c - 1 edits one half, of d pieces, has at most
+        d - 1; so on the way from the hit to the whole, all halves around it must fit.  Clean text fails at two pieces.
+        """
+        a, b = 0, self.k + 1
+        halves = []
+        while b - a > 2:
+            middle = (a + b) // 2
+            a, b = (a, middle) if piece < middle else (middle, b)
+            if b - a > 1:
+                halves.append((a, b))
+        if halves and not self.has_neighbours(line, piece, start, *halves[-1]):
+            return False
+        for a, b in reversed(halves):
+            low, high, budget = self.edges[a], self.edges[b], b - a - 1
+            # the hit itself is in place; what lies before and after it may have moved by the budget
+            if self.search(line[max(0, start + low - budget) : start + high + budget], low, high)[0] > budget:
+                return False
+        return True
+
 
 class Matcher:
     """All items of a block, against one text after the other."""
@@ -96,8 +137,8 @@ class Matcher:
         self.items, found = [], {}
         for number, text in items:
             item = Item(number, text, int(len(text) * rate))
-            for at, piece in pieces(text, item.k):
-                found.setdefault(piece, []).append((len(self.items), at))
+            for n, (at, piece) in enumerate(pieces(text, item.k)):
+                found.setdefault(piece, []).append((len(self.items), n, at))
             self.items.append(item)
         self.automaton = ahocorasick.Automaton()
         for piece, owners in found.items():
@@ -113,13 +154,15 @@ class Matcher:
         line = normalized(text)
         tried, best = set(), {}
         for last, (length, owners) in self.automaton.iter(line):
-            for i, at in owners:
+            for i, n, at in owners:
                 item = self.items[i]
                 start = last + 1 - length - at
                 # hits on one diagonal, give or take k, share a window; both windows that may hold it are tried
                 cell = start // (item.k + 1)
                 if (i, cell) in tried or (i in best and best[i][0] == 0):
                     continue
+                if not item.bears_out(line, n, start):
+                    continue
                 tried.add((i, cell))
                 begin = max(0, cell * (item.k + 1) - item.k)
                 window = line[begin : (cell + 1) * (item.k + 1) + len(item.text) + item.k]
@@ -144,7 +187,7 @@ def item_blocks(benchmark: DataFrame, min_chars: int, block_chars: int, id_col:
             yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 40, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 40, block_chars: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that it holds with at most ``rate`` edits per character of the item.
 
     Each block of the benchmark is broadcast (its size is bounded by ``block_chars``) and all documents are read
