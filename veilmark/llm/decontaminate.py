@@ -219,3 +219,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_c
         part = map_arrow(rows, make, MATCHES)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], MATCHES)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 40, block_chars: int = 1_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of the benchmark: one pass per block, and no shuffle."""
+    spark = prepare(docs.sparkSession)
+    at, schema, out = docs.columns.index(text_col), docs.schema, docs
+    for block in item_blocks(benchmark, min_chars, block_chars, item_id_col, item_text_col):
+        items = spark.sparkContext.broadcast(block)
+
+        def make(items=items):
+            matcher = Matcher(items.value, rate)
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                texts = batch.column(at).cast(pa.string()).to_pylist()
+                return batch.filter(pa.array([not (t and matcher.matches(t)) for t in texts], pa.bool_()))
+
+            return step
+
+        out = map_arrow(out, make, schema)
+    return out
