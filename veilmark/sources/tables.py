@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -9,8 +11,18 @@ from pyspark.sql.types import StringType, StructField, StructType
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, wherever the driver was started from."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    old = env.get("PYTHONPATH", "")
+    if root not in old.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, old) if x)
+    return spark
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return reach(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
