@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, texts, written
 from .bpe import MEMO, Vocabulary, chunks
 
+#: Up to this many partition totals are broadcast (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_PARTS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -81,10 +83,13 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_
     totals: one for each task of the first pass.
     """
     width = 2 if Vocabulary(tokenizer).size <= 65536 else 4
-    rows = written(tokenized(df, tokenizer, end_id, id_col, text_col), "pack")
+    first_pass = tokenized(df, tokenizer, end_id, id_col, text_col)
+    n_parts = first_pass.rdd.getNumPartitions()
+    rows = written(first_pass, "pack")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if n_parts <= BROADCAST_PARTS else bases  # a row of two numbers for each partition
     placed = rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "n_tokens", "ids")
 
     def make():
