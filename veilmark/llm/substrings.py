@@ -38,6 +38,10 @@ CHUNK, LONGEST = 2 << 20, 256
 #: Bytes of text whose segments are moved together.
 FLUSH = 24 << 20
 NULL = -(1 << 63)
+#: Marks the length of a segment that can hold a window twice by itself, as in text that repeats within a few words.
+TWICE = 1 << 15
+#: Bits for a place within a chunk.
+PLACE = np.uint64((1 << 22) - 1)
 TOP = np.uint64(1 << 63)
 
 _r = np.random.default_rng(20)
@@ -80,11 +84,15 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """Of a chunk: key, content hash, start in the chunk and windows of each segment, in order of start."""
+    """Of a chunk: key, content hash, start in the chunk and windows of each segment, in order of start.
+
+    ``twice``: whether equal windows can lie within the segment.  In two equal windows the string of least hash lies
+    at one offset, so its place moves from the one to the other: a segment in which it never moves has none.
+    """
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray, span: int, hot: np.ndarray | None = None):
         empty = np.zeros(0, np.int64)
-        self.start, self.windows, self.key, self.content = empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        self.start, self.windows, self.key, self.content, self.twice = empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty.astype(bool)
         n = len(text)
         if n < span:
             return
@@ -93,6 +101,8 @@ class Segments:
         np.cumsum(_GEAR[text] * power[:n], out=sums[1:])
         h = mixed((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1]) & ~TOP
         key = least(h, span - GRAM + 1)
+        place = least(h & ~PLACE | np.arange(len(h), dtype=np.uint64), span - GRAM + 1) & PLACE
+        moves = np.concatenate([[0], np.cumsum(place[1:] != place[:-1])])
         if hot is not None and len(hot):
             crowded = np.isin(key, hot)
             if crowded.any():
@@ -110,7 +120,7 @@ class Segments:
         if len(parts) and parts.max() > 1:
             which = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
             start, windows = np.repeat(start, parts) + which * LONGEST, np.minimum(np.repeat(windows, parts) - which * LONGEST, LONGEST)
-        self.start, self.windows, self.key = start, windows, key[start]
+        self.start, self.windows, self.key, self.twice = start, windows, key[start], moves[start] != moves[start + windows - 1]
         end = start + windows + span - 1
         self.content = mixed((sums[end] - sums[start]) * back[start] + windows.astype(np.uint64))
 
@@ -220,7 +230,7 @@ def key_counts(docs: DataFrame, span: int, n_shards: int) -> DataFrame:
                 chunk = Chunk(pieces, span)
                 distinct = np.zeros(len(chunk.first), np.int64)
                 distinct[chunk.kept] = 1
-                k, c = merge_counts(chunk.segments.key, (distinct << 32) + 1)  # both counts in one number
+                k, c = merge_counts(chunk.segments.key, (distinct << 32) + 1 + chunk.segments.twice)  # both counts in one number
                 keys.append(k)
                 counts.append(c)
                 held += len(k)
@@ -285,7 +295,7 @@ def moved_segments(docs: DataFrame, span: int, paths: dict[int, str], hot: np.nd
                 if not len(i):
                     continue
                 parts = [(held[o], index[i[owner[i] == o]]) for o in np.unique(owner[i])]
-                columns = zip(*((c.segments.key[j], c.doc[c.piece[j]], c.tell[c.piece[j]], c.place[j], c.length[j]) for c, j in parts), strict=True)
+                columns = zip(*((c.segments.key[j], c.doc[c.piece[j]], c.tell[c.piece[j]], c.place[j], c.length[j] + TWICE * c.segments.twice[j]) for c, j in parts), strict=True)
                 head = squeeze(*(np.concatenate(c).astype(t) for c, t in zip(columns, DTYPES, strict=True)))
                 body = compress(b"".join(c.text[ragged(c.segments.start[j], c.length[j])].tobytes() for c, j in parts))
                 rows.append((0, s, len(head).to_bytes(4, "little") + head + body))
@@ -350,16 +360,16 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
             heads.append(expand(blob[4 : 4 + n], *DTYPES))
             bodies.append(zstandard.ZstdDecompressor().decompress(blob[4 + n :]))
         key, doc, tell, place, length = (np.concatenate([h[i] for h in heads]) for i in range(5))
-        text, length = np.frombuffer(b"".join(bodies), np.uint8), length.astype(np.int64)
+        text, twice, length = np.frombuffer(b"".join(bodies), np.uint8), length >= TWICE, length.astype(np.int64) % TWICE
         del heads, bodies
         start = np.cumsum(length) - length
         order = np.lexsort((place, doc, key))  # keys that only one segment has here can't match
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         again = np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))) > 1, np.diff(np.append(np.flatnonzero(new), len(order))))
-        i = np.sort(order[again])
+        i = np.sort(order[again | twice[order]])
         i = i[np.lexsort((place[i], doc[i]))]
-        key, doc, tell, place, length, start = (x[i] for x in (key, doc, tell, place, length, start))
+        key, doc, tell, place, length, start, twice = (x[i] for x in (key, doc, tell, place, length, start, twice))
         if not len(i):
             return
         content = hashes(text, start, length)
@@ -369,7 +379,7 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
         yield _intervals(joined(doc[later], tell[later], place[later], place[later] + length[later], span))
         alone = np.flatnonzero(first == mine)
         _, inverse, count = np.unique(key[alone], return_inverse=True, return_counts=True)
-        alone = alone[count[inverse] > 1]
+        alone = alone[(count[inverse] > 1) | twice[alone]]
         if not len(alone):
             return
         # A key's segments stay together; keys are dealt out in parts of a bounded size, each with an array of its own
