@@ -88,7 +88,8 @@ def merge_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 def by_shard(df: DataFrame, n: int, step: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Bring together the blobs of each shard (columns shard, blob) and apply ``step`` to one shard at a time.
 
-    Blobs are already merged in the task that made them, so a key has one entry per task at most, however frequent.
+    Shard i goes to partition i: no two share a task.  Blobs are already merged in the task that made them, so a key
+    has one entry per task at most, however frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,4 +105,4 @@ def by_shard(df: DataFrame, n: int, step: Callable[[int, list[bytes]], Iterator[
             yield from step(shard, held)
 
     prepare(df.sparkSession)
-    return df.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return df.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
