@@ -86,13 +86,13 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Segments:
     """Of a chunk: key, content hash, start in the chunk and windows of each segment, in order of start.
 
-    ``twice``: whether equal windows can lie within the segment.  In two equal windows the string of least hash lies
+    ``anchor``: where the string of least hash lies in the segment.  ``twice``: whether equal windows can lie within the segment.  In two equal windows the string of least hash lies
     at one offset, so its place moves from the one to the other: a segment in which it never moves has none.
     """
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray, span: int, hot: np.ndarray | None = None):
         empty = np.zeros(0, np.int64)
-        self.start, self.windows, self.key, self.content, self.twice = empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty.astype(bool)
+        self.start, self.windows, self.key, self.content, self.twice, self.anchor = empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty.astype(bool), empty
         n = len(text)
         if n < span:
             return
@@ -121,6 +121,7 @@ class Segments:
             which = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
             start, windows = np.repeat(start, parts) + which * LONGEST, np.minimum(np.repeat(windows, parts) - which * LONGEST, LONGEST)
         self.start, self.windows, self.key, self.twice = start, windows, key[start], moves[start] != moves[start + windows - 1]
+        self.anchor = place[start].astype(np.int64) - start
         end = start + windows + span - 1
         self.content = mixed((sums[end] - sums[start]) * back[start] + windows.astype(np.uint64))
 
@@ -261,7 +262,7 @@ def repeated_keys(counted: DataFrame, n_shards: int, base: str, hot_floor: int)
     return by_shard(counted, n_shards, step, "shard int, path string, n_segments long, hot array<long>, n_hot array<long>")
 
 
-DTYPES = ("<u8", "<i8", "<i4", "<i8", "<u2")
+DTYPES = ("<u8", "<i8", "<i4", "<i8", "<u2", "<u2")
 
 
 def moved_segments(docs: DataFrame, span: int, paths: dict[int, str], hot: np.ndarray, n_shards: int) -> DataFrame:
@@ -295,7 +296,7 @@ def moved_segments(docs: DataFrame, span: int, paths: dict[int, str], hot: np.nd
                 if not len(i):
                     continue
                 parts = [(held[o], index[i[owner[i] == o]]) for o in np.unique(owner[i])]
-                columns = zip(*((c.segments.key[j], c.doc[c.piece[j]], c.tell[c.piece[j]], c.place[j], c.length[j] + TWICE * c.segments.twice[j]) for c, j in parts), strict=True)
+                columns = zip(*((c.segments.key[j], c.doc[c.piece[j]], c.tell[c.piece[j]], c.place[j], c.length[j] + TWICE * c.segments.twice[j], c.segments.anchor[j]) for c, j in parts), strict=True)
                 head = squeeze(*(np.concatenate(c).astype(t) for c, t in zip(columns, DTYPES, strict=True)))
                 body = compress(b"".join(c.text[ragged(c.segments.start[j], c.length[j])].tobytes() for c, j in parts))
                 rows.append((0, s, len(head).to_bytes(4, "little") + head + body))
@@ -359,7 +360,7 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
             n = int.from_bytes(blob[:4], "little")
             heads.append(expand(blob[4 : 4 + n], *DTYPES))
             bodies.append(zstandard.ZstdDecompressor().decompress(blob[4 + n :]))
-        key, doc, tell, place, length = (np.concatenate([h[i] for h in heads]) for i in range(5))
+        key, doc, tell, place, length, anchor = (np.concatenate([h[i] for h in heads]) for i in range(6))
         text, twice, length = np.frombuffer(b"".join(bodies), np.uint8), length >= TWICE, length.astype(np.int64) % TWICE
         del heads, bodies
         start = np.cumsum(length) - length
@@ -369,7 +370,7 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
         again = np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))) > 1, np.diff(np.append(np.flatnonzero(new), len(order))))
         i = np.sort(order[again | twice[order]])
         i = i[np.lexsort((place[i], doc[i]))]
-        key, doc, tell, place, length, start, twice = (x[i] for x in (key, doc, tell, place, length, start, twice))
+        key, doc, tell, place, length, start, twice, anchor = (x[i] for x in (key, doc, tell, place, length, start, twice, anchor))
         if not len(i):
             return
         content = hashes(text, start, length)
@@ -380,6 +381,7 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
         alone = np.flatnonzero(first == mine)
         _, inverse, count = np.unique(key[alone], return_inverse=True, return_counts=True)
         alone = alone[(count[inverse] > 1) | twice[alone]]
+        alone = alone[can_match(text, key[alone], start[alone], length[alone], anchor[alone].astype(np.int64), twice[alone], span)]
         if not len(alone):
             return
         # A key's segments stay together; keys are dealt out in parts of a bounded size, each with an array of its own
@@ -396,6 +398,24 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
     return by_shard(moved.filter("kind = 0").select("shard", "blob"), n_shards, step, INTERVALS)
 
 
+def can_match(text: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, twice: np.ndarray, span: int) -> np.ndarray:
+    """Which segments can share a window with another one of their key.
+
+    Equal windows agree on the anchor's place, and reach at least half of what a window has besides the anchor to its
+    left or to its right: so segments that can match have equal bytes there.  Where an anchor moves within one of a
+    key's segments, all of the key's stay.
+    """
+    half = (span - GRAM) // 2
+    keep = np.isin(key, key[twice])
+    for low, there in ((anchor - half, anchor >= half), (anchor + GRAM, anchor + GRAM + half <= length)):
+        i = np.flatnonzero(there)
+        if len(i):
+            side = mixed(hashes(text, start[i] + low[i], np.full(len(i), half)) ^ key[i])
+            _, inverse, count = np.unique(side, return_inverse=True, return_counts=True)
+            keep[i] |= count[inverse] > 1
+    return keep
+
+
 #: Bytes of segments that one suffix array holds, about: a key's segments are never parted.
 PART = 4 << 20
 
