@@ -15,7 +15,7 @@ from veilmark.llm._common import prepare, written
 from veilmark.llm.decontaminate import clean_documents
 from veilmark.llm.packing import pack
 from veilmark.llm.private import mask_private
-from veilmark.llm.simhash import one_of_each
+from veilmark.llm.similar import one_of_similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    return one_of_each(docs, max_bits=2, words_in_shingle=3, seed=42)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): that with the smallest id."""
+    return one_of_similar(docs, similarity=0.8, words_in_shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from veilmark.llm import html_text, ngram, private, quality, substrings, warc
 from veilmark.llm.bpe import Vocabulary, chunks
 from veilmark.llm.decontaminate import contaminated, normalized
 from veilmark.llm.packing import pack
+from veilmark.llm.similar import one_of_similar
 from veilmark.llm.simhash import near_duplicates, one_of_each
 from veilmark.llm.suffix_array import permuted_lcp, suffix_array
 from veilmark.llm.token_counts import token_counts
@@ -419,6 +420,40 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_similar_texts_match_brute_force(spark):
+    r, texts = random.Random(8), []
+    for i, n in enumerate([60, 100, 200, 400, 1000] * 6):
+        w = words(n, 3000 + i).split()
+        for changes in (0, 1, max(1, n // 50), n // 20):
+            for at in r.sample(range(n), changes):
+                w[at] = f"other{at}"
+            texts.append(" ".join(w))
+    texts += [words(60, 4000).upper(), words(60, 4000), "", None, "a b", "A  b", "a c"]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    least: dict[int, int] = {}
+    for i, x in enumerate(root):
+        least.setdefault(x, i)
+    kept = {x.doc_id for x in one_of_similar(documents(spark, texts).repartition(3)).select("doc_id").collect()}
+    assert kept == set(least.values()) and len(kept) < len(texts) - 40
+    assert one_of_similar(documents(spark, [])).count() == 0
+
+
+def test_stage_drops_a_copy_with_one_word_changed(spark):
+    import corpus_pipeline
+
+    t = words(100, 77).split()
+    texts = [" ".join(t), " ".join([*t[:50], "changed", *t[51:]]), words(100, 78)]
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, documents(spark, texts), "").collect()) == [0, 2]
+
+
 def test_repeated_rows_leave_one(spark):
     df = documents(spark, ["same text"] * 3 + ["other"], [7, 7, None, None])
     assert one_of_each(df).count() == 2

@@ -84,3 +84,18 @@ def test_operator_matches_sql(spark, name):
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     assert sorted(repr([r[c] for c in order]) for r in got.collect()) == sorted(repr([r[want.columns.index(c)] for c in order]) for r in want.fetchall())
+
+
+def test_stages_and_run_by_similarity(spark, folder):
+    path, texts, items = folder
+    left = {r.doc_id: r.text for r in quality.kept_documents(spark.read.parquet(f"{path}/documents.parquet"), quality.CURRENT).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.lower().split()) for i, t in left.items())}
+    near = {i for i in left if any(j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in left)}
+    assert {30, 31, 32} <= near
+    m = Matcher([(i, normalized(t)) for i, t in enumerate(items)], 0.1)
+    left = {i: private.masked(t, private.base_spans(t)) for i, t in left.items() if i not in near and not m.matches(t)}
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, path), name)
+    assert {r.doc_id: r.text for r in docs.collect()} == left
+    assert {r.doc_id for r in corpus_pipeline.run(spark, path).select("doc_id").collect()} == set(left)

@@ -192,7 +192,11 @@ def one_of_each(df: DataFrame, max_bits: int = 2, words_in_shingle: int = 3, see
 
     Null ids come last.  Of rows with one id the one whose text hashes lowest stays; of rows that agree in both, one.
     """
-    docs, rooted = clustered(df, max_bits, words_in_shingle, seed, id_col, text_col)
+    return heads_of_groups(df, *clustered(df, max_bits, words_in_shingle, seed, id_col, text_col), id_col, text_col)
+
+
+def heads_of_groups(df: DataFrame, docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of ``df`` in each group, given (doc_id, tell, fp) of all rows and (fp, root) of all fingerprints."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tell")
     heads = docs.groupBy("fp").agg(F.min(first).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("f")).select("f.doc_id", "f.tell")
     rows = docs.groupBy("doc_id", "tell").agg(F.count("*").alias("n"))
