@@ -337,6 +337,16 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert private.find_private(documents(spark, [])).count() == 0
 
 
+def test_contexts_extract_other_forms(spark):
+    r = random.Random(4)
+    texts = [f'{words(6, i)} token = "{"".join(r.choices("0123456789abcdef", k=40))}" {words(5, 50 + i)}' for i in range(12)]
+    texts += [f'{words(4, 99)} token = "{x}" {words(4, 98)}' for x in ("Zx9-unseen-form7", "AKIA0EXAMPLE7KEY")]
+    found = {x.doc_id: [s.asDict() for s in x.spans] for x in private.find_private(documents(spark, texts)).collect()}
+    for i, value in ((12, "Zx9-unseen-form7"), (13, "AKIA0EXAMPLE7KEY")):
+        at = texts[i].index(value)
+        assert found[i] == [{"kind": "secret", "start": at, "end": at + len(value)}]
+
+
 # ---- language model
 
 

@@ -2,7 +2,7 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these, and long hexadecimal strings as
 secrets, are the seeds.  The same pass notes every string that looks like an identifier, with the words before it.
-A pattern is the words before an identifier together with its form; patterns and instances make a graph, in which
+A pattern is the words before an identifier, whatever its form; patterns and instances make a graph, in which
 Spark scores both in turn: a pattern by the share of its distinct instances that are believed to be of one kind, an
 instance by its best patterns.  Patterns that end above ``accept``, with enough distinct instances, then yield
 further identifiers wherever they occur.
@@ -85,18 +85,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def form(value: str) -> str:
-    """The class of an identifier's form; a pattern holds for one class."""
-    if "@" in value:
-        return "address"
-    if SECRET.fullmatch(value):
-        return "hex"
-    plain = re.sub(r"[ ()+./=_-]", "", value)
-    if plain.isdigit():
-        return "dotted" if value.count(".") == 3 else "digits"
-    return "mixed"
-
-
 def contexts(text: str, start: int) -> list[str]:
     """The two and the three words and marks before a place, if one of them is a word; digits are made equal."""
     before = text[max(0, start - CONTEXT_CHARS) : start]
@@ -118,7 +106,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str |
     return out
 
 
-FOUND = "doc_id long, tell int, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:string,form:string,contexts:array<string>>>"
+FOUND = "doc_id long, tell int, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:string,contexts:array<string>>>"
 
 
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,14 +114,14 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def make():
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        seen = pa.struct([*span, ("value", pa.string()), ("form", pa.string()), ("contexts", pa.list_(pa.string()))])
+        seen = pa.struct([*span, ("value", pa.string()), ("contexts", pa.list_(pa.string()))])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             bases, others = [], []
             for text in batch.column(2).to_pylist():
                 base = base_spans(text) if text else []
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                others.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "form": form(text[a:b]), "contexts": contexts(text, a)} for k, a, b in candidates(text, base)] if text else [])
+                others.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "contexts": contexts(text, a)} for k, a, b in candidates(text, base)] if text else [])
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, pa.list_(span)), pa.array(others, pa.list_(seen))], names=["doc_id", "tell", "base", "seen"])
 
         return step
@@ -143,30 +131,30 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def graph(found: DataFrame) -> DataFrame:
-    """pattern, form, instance, kind (of seeds, else null): a row per distinct pattern and instance."""
+    """pattern, instance, kind (of seeds, else null): a row per distinct pattern and instance."""
     seen = found.select(F.explode("seen").alias("s"))
-    edges = seen.select(F.explode("s.contexts").alias("pattern"), F.col("s.form").alias("form"), F.xxhash64("s.value").alias("instance"), F.col("s.kind").alias("kind"))
-    return edges.groupBy("pattern", "form", "instance").agg(F.max("kind").alias("kind"))
+    edges = seen.select(F.explode("s.contexts").alias("pattern"), F.xxhash64("s.value").alias("instance"), F.col("s.kind").alias("kind"))
+    return edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
 
 
 def scored_patterns(edges: DataFrame, rounds: int = 3, min_instances: int = 5, accept: float = 0.8) -> DataFrame:
-    """pattern, form, kind, n, score of the accepted patterns.
+    """pattern, kind, n, score of the accepted patterns.
 
     Beliefs in instances begin with the seeds.  Each round scores a pattern for a kind by the sum of its instances'
     beliefs over their number, and gives an instance that isn't a seed the belief 1 - prod(1 - score) over its
     patterns that stand above ``accept``.
     """
     beliefs = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
-    sizes = edges.groupBy("pattern", "form").agg(F.count("*").alias("n")).filter(F.col("n") >= min_instances)
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_instances)
     seeds = edges.filter("kind is not null").select("instance").distinct()
-    links = edges.select("pattern", "form", "instance")
+    links = edges.select("pattern", "instance")
     accepted = None
     for _ in range(rounds):
-        mass = links.join(beliefs, "instance").groupBy("pattern", "form", "kind").agg(F.sum("belief").alias("mass"))
-        accepted = mass.join(sizes, ["pattern", "form"]).withColumn("score", F.col("mass") / F.col("n")).filter(F.col("score") >= accept).select("pattern", "form", "kind", "n", "score")
+        mass = links.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"))
+        accepted = mass.join(sizes, "pattern").withColumn("score", F.col("mass") / F.col("n")).filter(F.col("score") >= accept).select("pattern", "kind", "n", "score")
         accepted = written(accepted, "patterns")
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))
-        others = links.join(accepted.select("pattern", "form", "kind", "score"), ["pattern", "form"]).join(seeds, "instance", "left_anti")
+        others = links.join(accepted.select("pattern", "kind", "score"), "pattern").join(seeds, "instance", "left_anti")
         learned = others.groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("belief"))
         first = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
         beliefs = written(first.unionByName(learned), "beliefs")
@@ -182,9 +170,9 @@ def find_private(df: DataFrame, rounds: int = 3, min_instances: int = 5, accept:
     patterns = scored_patterns(written(graph(found), "graph"), rounds, min_instances, accept)
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     rank = F.struct(F.col("score"), -order, F.col("kind"))
-    seen = found.select("doc_id", "tell", F.explode("seen").alias("s")).select("doc_id", "tell", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("seed"), F.col("s.form").alias("form"), F.explode("s.contexts").alias("pattern"))
+    seen = found.select("doc_id", "tell", F.explode("seen").alias("s")).select("doc_id", "tell", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("seed"), F.explode("s.contexts").alias("pattern"))
     # of a base kind each seed is a base span already; secrets count as found once a pattern bears them out
-    fresh = seen.filter(F.col("seed").isNull() | (F.col("seed") == "secret")).join(patterns, ["pattern", "form"])
+    fresh = seen.filter(F.col("seed").isNull() | (F.col("seed") == "secret")).join(patterns, "pattern")
     best = fresh.groupBy("doc_id", "tell", "start", "end").agg(F.max(rank).alias("r")).select("doc_id", "tell", F.struct(F.col("r.kind").alias("kind"), "start", "end").alias("span"))
     more = best.groupBy(F.col("doc_id").alias("m_id"), F.col("tell").alias("m_tell")).agg(F.collect_list("span").alias("more"))
     both = found.select("doc_id", "tell", "base").join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tell") == F.col("m_tell")), "left")
