@@ -347,6 +347,28 @@ def test_contexts_extract_other_forms(spark):
         assert found[i] == [{"kind": "secret", "start": at, "end": at + len(value)}]
 
 
+def card(r: random.Random) -> str:
+    head = "".join(r.choices("0123456789", k=15))
+    return head + next(d for d in "0123456789" if private.luhn(head + d))
+
+
+def test_contexts_with_many_unknown_identifiers(spark):
+    r, texts, want = random.Random(5), [], {}
+    for i in range(24):
+        valid = card(r)
+        wrong = valid[:15] + str((int(valid[15]) + 5) % 10)
+        blocks = " ".join(wrong[j : j + 4] for j in range(0, 16, 4))
+        tail = r.randrange(1000, 9999)
+        for lead, value in (("card number", valid if i % 2 else (blocks, wrong)[i % 4 == 0]), ("please call", f"+1 ({r.randrange(200, 999)}) 555-{tail}" if i % 2 else f"({r.randrange(200, 999)}) 555-{tail}")):
+            text = f"{words(6, i)} {lead} {value} {words(5, 50 + i)}"
+            want[len(texts)] = ("card" if lead[0] == "c" else "phone", text.index(value), text.index(value) + len(value))
+            texts.append(text)
+    texts += [f"{words(6, i)} seen on {x} {words(5, i)}" for i in range(6) for x in (card(r), f"20{10 + i}-05-06", f"1.{r.randrange(100000, 999999)}", f"room{i}b7")]
+    found = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in private.find_private(documents(spark, texts)).collect()}
+    assert all(found[i] == [x] for i, x in want.items())
+    assert all(not found[i] for i in range(len(want), len(texts)) if (i - len(want)) % 4)
+
+
 # ---- language model
 
 

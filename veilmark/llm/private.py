@@ -3,9 +3,10 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these, and long hexadecimal strings as
 secrets, are the seeds.  The same pass notes every string that looks like an identifier, with the words before it.
 A pattern is the words before an identifier, whatever its form; patterns and instances make a graph, in which
-Spark scores both in turn: a pattern by the share of its distinct instances that are believed to be of one kind, an
-instance by its best patterns.  Patterns that end above ``accept``, with enough distinct instances, then yield
-further identifiers wherever they occur.
+Spark scores both in turn: a pattern by the instances believed to be of one kind against those that contradict it
+(seeds of other kinds, and dates and decimal numbers, which are known not to be identifiers), an instance by its best
+patterns.  Instances of which nothing is known weigh ``UNKNOWN`` of a contradiction.  Patterns that end above
+``accept``, with enough distinct believed instances, then yield further identifiers wherever they occur.
 
 The graph has a row per distinct (pattern, instance), aggregated before it is shuffled; a pattern that very many
 identifiers share is many rows, never one.
@@ -40,6 +41,12 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Strings that look like identifiers: at least six characters, a digit among them.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z._@+/=-]*[0-9])[A-Za-z0-9][A-Za-z0-9._@+/=-]{4,}[A-Za-z0-9=]")
+#: Groups of digits with single blanks, dots, hyphens or brackets between, and account numbers written in blocks.
+GROUPS = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|(?:\([0-9]{1,6}\)|[0-9]{1,6})(?:[\x20./-]?\([0-9]{1,6}\)|(?:(?<=\))|[\x20./-])\x20?[0-9]{1,6})+)(?![A-Za-z0-9])")
+GROUP_DIGITS = range(7, 25)
+#: Known not to be identifiers: dates, with or without a time, times, ranges of years, decimal numbers.
+NOT = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?:[T\x20][0-9.]+Z?)?|(?:1[5-9]|20)[0-9]{2}[-/](?:1[5-9]|20)[0-9]{2}|[0-9]+\.[0-9]+")
+NONE, UNKNOWN = "none", 0.1
 SECRET = re.compile(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,}")
 WORD = re.compile(r"\w+|[^\w\s]")
 CONTEXT_CHARS, CONTEXT_WORDS = 80, 3
@@ -93,16 +100,25 @@ def contexts(text: str, start: int) -> list[str]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int]]:
-    """(kind if a seed, start, end): base spans and all other strings that look like identifiers, outside of them."""
+    """(kind if a seed, start, end): base spans and all other strings that look like identifiers, outside of them.
+
+    Strings known not to be identifiers are seeds of kind ``NONE``.
+    """
     out: list[tuple[str | None, int, int]] = list(base)
     if DIGIT.search(text):
-        spans, i = sorted((a, b) for _, a, b in base), 0
-        for m in CANDIDATE.finditer(text):
-            while i < len(spans) and spans[i][1] <= m.start():
-                i += 1
-            if i < len(spans) and spans[i][0] < m.end():
-                continue
-            out.append(("secret" if SECRET.fullmatch(m[0]) else None, m.start(), m.end()))
+        taken = sorted((a, b) for _, a, b in base)
+        for pattern in (GROUPS, CANDIDATE):
+            i, new = 0, []
+            for m in pattern.finditer(text):
+                if pattern is GROUPS and m[0][0].isascii() and not m[0][0].isalpha() and len(NOT_DIGIT.sub("", m[0])) not in GROUP_DIGITS:
+                    continue
+                while i < len(taken) and taken[i][1] <= m.start():
+                    i += 1
+                if i < len(taken) and taken[i][0] < m.end():
+                    continue
+                new.append((m.start(), m.end()))
+                out.append(("secret" if SECRET.fullmatch(m[0]) else NONE if NOT.fullmatch(m[0]) else None, m.start(), m.end()))
+            taken = sorted(taken + new)
     return out
 
 
@@ -141,22 +157,24 @@ def scored_patterns(edges: DataFrame, rounds: int = 3, min_instances: int = 5, a
     """pattern, kind, n, score of the accepted patterns.
 
     Beliefs in instances begin with the seeds.  Each round scores a pattern for a kind by the sum of its instances'
-    beliefs over their number, and gives an instance that isn't a seed the belief 1 - prod(1 - score) over its
-    patterns that stand above ``accept``.
+    beliefs over that of all kinds, with ``UNKNOWN`` for each instance that has no belief and 1 against chance, and
+    gives an instance that isn't a seed the belief 1 - prod(1 - score) over its patterns that stand above ``accept``.
     """
-    beliefs = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
+    first = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
+    beliefs, seeds = first, first.select("instance").distinct()
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_instances)
-    seeds = edges.filter("kind is not null").select("instance").distinct()
     links = edges.select("pattern", "instance")
     accepted = None
     for _ in range(rounds):
-        mass = links.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"))
-        accepted = mass.join(sizes, "pattern").withColumn("score", F.col("mass") / F.col("n")).filter(F.col("score") >= accept).select("pattern", "kind", "n", "score")
+        mass = links.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("known"))
+        every = mass.groupBy("pattern").agg(F.sum("mass").alias("total"), F.sum("known").alias("known"))
+        against = F.col("total") + UNKNOWN * F.greatest(F.col("n") - F.col("known"), F.lit(0)) + 1
+        scored = mass.drop("known").filter((F.col("mass") >= min_instances) & (F.col("kind") != NONE)).join(every, "pattern").join(sizes, "pattern")
+        accepted = scored.withColumn("score", F.col("mass") / against).filter(F.col("score") >= accept).select("pattern", "kind", "n", "score")
         accepted = written(accepted, "patterns")
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))
         others = links.join(accepted.select("pattern", "kind", "score"), "pattern").join(seeds, "instance", "left_anti")
         learned = others.groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("belief"))
-        first = edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
         beliefs = written(first.unionByName(learned), "beliefs")
     return accepted
 
