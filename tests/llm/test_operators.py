@@ -369,6 +369,14 @@ def test_contexts_with_many_unknown_identifiers(spark):
     assert all(not found[i] for i in range(len(want), len(texts)) if (i - len(want)) % 4)
 
 
+def test_single_secrets_after_credential_words(spark):
+    r = random.Random(6)
+    secret = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    texts = [f"{lead}{secret()} {words(9, i)}" for i, lead in enumerate(["API_KEY=", "the password is ", 'x "secret": "', "Authorization: Bearer ", "commit ", ""])]
+    found = {x.doc_id: [(s.kind, s.end - s.start) for s in x.spans] for x in private.find_private(documents(spark, texts)).collect()}
+    assert [found[i] for i in range(6)] == [[("secret", 40)]] * 4 + [[]] * 2
+
+
 # ---- language model
 
 

@@ -48,8 +48,11 @@ GROUP_DIGITS = range(7, 25)
 NOT = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?:[T\x20][0-9.]+Z?)?|(?:1[5-9]|20)[0-9]{2}[-/](?:1[5-9]|20)[0-9]{2}|[0-9]+\.[0-9]+")
 NONE, UNKNOWN = "none", 0.1
 SECRET = re.compile(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,}")
+HEX = re.compile(rf"(?<![A-Za-z0-9]){SECRET.pattern}(?![A-Za-z0-9])")
+#: A long hexadecimal string after one of these words, with marks and at most two short words between, is a secret at once.
+CREDENTIAL = re.compile(r"(?i)(?:api[_ -]?key|access[_ -]?key|secret|token|passw(?:or)?d|passphrase|credentials?|bearer|private[_ -]?key|authorization|key)s?[\"']?(?:\s+(?:is|was|of|for|the|bearer|basic|value)){0,2}[\s:=\"'>`(\[]{0,6}$")
 WORD = re.compile(r"\w+|[^\w\s]")
-CONTEXT_CHARS, CONTEXT_WORDS = 80, 3
+CONTEXT_CHARS, CONTEXT_WORDS, START = 80, 3, "^^"
 
 
 def luhn(digits: str) -> bool:
@@ -93,9 +96,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def contexts(text: str, start: int) -> list[str]:
-    """The two and the three words and marks before a place, if one of them is a word; digits are made equal."""
+    """The two and the three words and marks before a place, if one of them is a word; digits are made equal.
+
+    The start of the text is a mark.
+    """
     before = text[max(0, start - CONTEXT_CHARS) : start]
-    words = [DIGIT.sub("0", w.lower()) for w in WORD.findall(before)][-CONTEXT_WORDS:]
+    words = [DIGIT.sub("0", w.lower()) for w in WORD.findall(before)]
+    words = [*([START] if start <= CONTEXT_CHARS else []), *words][-CONTEXT_WORDS:]
     return [" ".join(words[-n:]) for n in range(2, len(words) + 1) if any(w.isalpha() for w in words[-n:])]
 
 
@@ -107,7 +114,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str |
     out: list[tuple[str | None, int, int]] = list(base)
     if DIGIT.search(text):
         taken = sorted((a, b) for _, a, b in base)
-        for pattern in (GROUPS, CANDIDATE):
+        for pattern in (HEX, GROUPS, CANDIDATE):
             i, new = 0, []
             for m in pattern.finditer(text):
                 if pattern is GROUPS and m[0][0].isascii() and not m[0][0].isalpha() and len(NOT_DIGIT.sub("", m[0])) not in GROUP_DIGITS:
@@ -122,7 +129,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str |
     return out
 
 
-FOUND = "doc_id long, tell int, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:string,contexts:array<string>>>"
+FOUND = "doc_id long, tell int, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:string,sure:boolean,contexts:array<string>>>"
 
 
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,14 +137,14 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def make():
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        seen = pa.struct([*span, ("value", pa.string()), ("contexts", pa.list_(pa.string()))])
+        seen = pa.struct([*span, ("value", pa.string()), ("sure", pa.bool_()), ("contexts", pa.list_(pa.string()))])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             bases, others = [], []
             for text in batch.column(2).to_pylist():
                 base = base_spans(text) if text else []
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                others.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "contexts": contexts(text, a)} for k, a, b in candidates(text, base)] if text else [])
+                others.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "sure": k == "secret" and bool(CREDENTIAL.search(text[max(0, a - CONTEXT_CHARS) : a])), "contexts": contexts(text, a)} for k, a, b in candidates(text, base)] if text else [])
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, pa.list_(span)), pa.array(others, pa.list_(seen))], names=["doc_id", "tell", "base", "seen"])
 
         return step
@@ -189,8 +196,9 @@ def find_private(df: DataFrame, rounds: int = 3, min_instances: int = 5, accept:
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     rank = F.struct(F.col("score"), -order, F.col("kind"))
     seen = found.select("doc_id", "tell", F.explode("seen").alias("s")).select("doc_id", "tell", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("seed"), F.explode("s.contexts").alias("pattern"))
-    # of a base kind each seed is a base span already; secrets count as found once a pattern bears them out
-    fresh = seen.filter(F.col("seed").isNull() | (F.col("seed") == "secret")).join(patterns, "pattern")
+    sure = found.select("doc_id", "tell", F.explode(F.filter("seen", lambda s: s["sure"])).alias("s")).select("doc_id", "tell", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), F.lit(1.0).alias("score"))
+    # of a base kind each seed is a base span already; secrets count as found once a pattern or a credential word bears them out
+    fresh = seen.filter(F.col("seed").isNull() | (F.col("seed") == "secret")).join(patterns, "pattern").select(*sure.columns).unionByName(sure)
     best = fresh.groupBy("doc_id", "tell", "start", "end").agg(F.max(rank).alias("r")).select("doc_id", "tell", F.struct(F.col("r.kind").alias("kind"), "start", "end").alias("span"))
     more = best.groupBy(F.col("doc_id").alias("m_id"), F.col("tell").alias("m_tell")).agg(F.collect_list("span").alias("more"))
     both = found.select("doc_id", "tell", "base").join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tell") == F.col("m_tell")), "left")
