@@ -12,7 +12,9 @@ for the unknown.  Three passes over the training texts and one over all texts:
 3. From the distinct pairs each word's continuation count is summed, by ranges of the second word.
 4. Workers map these arrays and score texts; discounts come from the counts of counts.
 
-Everything lies in the shared folder as flat arrays; no worker holds the model.
+Everything lies in the shared folder as flat arrays, named by shard; no worker holds the model, and none keeps more
+than a few arrays open: look-ups are sorted and go shard by shard.  A pair is one 64-bit number, so more than
+``LIMIT`` distinct words are refused.
 
 Defined results: a null or empty text is its end alone; a null id is a training document; repeated rows count each
 time; an empty table gives no rows; columns other than id and text are not read.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, prepare, written
+from ._common import fresh_dir, prepare, release, written
 from .arrays import by_shard, deltas, expand, find, merge_counts, open_array, squeeze, write_array
 
 #: The end of a text as a token: white space, so that no word is equal to it.
@@ -42,6 +44,7 @@ HOT = 1e-3
 WORDS_HELD, PAIRS_HELD = 400_000, 3_000_000
 MEMO = 400_000
 PAIR = np.uint64(32)
+LIMIT = (1 << 32) - 2
 
 
 def word_hash(word: bytes) -> int:
@@ -92,31 +95,35 @@ def hash_shard(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def vocabulary(counted: DataFrame, n_shards: int, base: str) -> DataFrame:
-    """shard, keys (path), counts (path), n_words, n_tokens, top (hash and count of its most frequent words)."""
+    """shard, n_words, n_tokens, top and top_counts (number in the shard and count of its frequent words); writes keys and counts."""
 
     def step(shard: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [expand(b, "<u8", "<u8") for b in held]
         keys, counts = merge_counts(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]))
-        top = np.argsort(-counts.astype(np.int64), kind="stable")[:1000]
+        write_array(base, keys, f"{shard}.keys")
+        write_array(base, counts, f"{shard}.counts")
+        n = int(counts.sum())
+        top = np.flatnonzero(counts > HOT * n)  # what makes so much of all tokens makes more of its shard's
         yield pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([write_array(base, keys)]), pa.array([write_array(base, counts)]), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([top], pa.list_(pa.int64())), pa.array([counts[top].astype(np.int64)], pa.list_(pa.int64()))],
-            names=["shard", "keys", "counts", "n_words", "n_tokens", "top", "top_counts"],
+            [pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([n], pa.int64()), pa.array([top], pa.list_(pa.int64())), pa.array([counts[top].astype(np.int64)], pa.list_(pa.int64()))],
+            names=["shard", "n_words", "n_tokens", "top", "top_counts"],
         )
 
-    return by_shard(counted, n_shards, step, "shard int, keys string, counts string, n_words long, n_tokens long, top array<long>, top_counts array<long>")
+    return by_shard(counted, n_shards, step, "shard int, n_words long, n_tokens long, top array<long>, top_counts array<long>")
 
 
 @dataclass
 class Words:
-    """The vocabulary's arrays; a word's number is its rank."""
+    """The vocabulary: where its arrays lie; a word's number is its rank."""
 
-    n_shards: int
-    keys: list[str]
-    counts: list[str]
+    base: str
     first: list[int]  # number of each shard's first word, and of all words at the end
     n_tokens: int
     memo: dict = field(default_factory=dict)
-    _open: list | None = None
+
+    @property
+    def n_shards(self) -> int:
+        return len(self.first) - 1
 
     @property
     def n_words(self) -> int:
@@ -127,10 +134,8 @@ class Words:
         """The number that stands for the begin of a text: it is a first word only."""
         return self.n_words
 
-    def arrays(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        if self._open is None:
-            self._open = [(open_array(k, "<u8"), open_array(c, "<u8")) if k else (np.zeros(0, "<u8"),) * 2 for k, c in zip(self.keys, self.counts, strict=True)]
-        return self._open
+    def array(self, shard: int, name: str) -> np.ndarray:
+        return open_array(f"{self.base}/{shard}.{name}" if self.first[shard + 1] > self.first[shard] else "", "<u8")
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted hashes; -1: unknown."""
@@ -138,13 +143,13 @@ class Words:
         out = np.full(len(hashes), -1, np.int64)
         for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if b > a:
-                at = find(self.arrays()[s][0], hashes[a:b])
+                at = find(self.array(s, "keys"), hashes[a:b])
                 out[a:b] = np.where(at < 0, -1, at + self.first[s])
         return out
 
     def count(self, numbers: np.ndarray) -> np.ndarray:
         """Training counts of sorted known numbers."""
-        return gather(numbers, self.first, [c for _, c in self.arrays()], np.uint64)
+        return gather(numbers, self.first, lambda s: self.array(s, "counts"), np.uint64)
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its words' numbers, then the end's."""
@@ -163,13 +168,15 @@ class Words:
         return [np.fromiter((memo[x] for x in w), np.int64, len(w)) for w in words]
 
 
-def gather(numbers: np.ndarray, first: list[int], arrays: list[np.ndarray], dtype: type) -> np.ndarray:
-    """Values by sorted numbers, from arrays that each hold a range of them."""
+def gather(numbers: np.ndarray, first: list[int], array: Callable[[int], np.ndarray], dtype: type) -> np.ndarray:
+    """Values by sorted numbers, from arrays that each hold a range of them; what isn't written is 0."""
     edges = np.searchsorted(numbers, first)
     out = np.zeros(len(numbers), dtype)
     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if b > a:
-            out[a:b] = arrays[i][numbers[a:b] - first[i]]
+            held = array(i)
+            if len(held):
+                out[a:b] = held[numbers[a:b] - first[i]]
     return out
 
 
@@ -244,14 +251,15 @@ def context_stats(first_words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarr
 
 
 def pair_index(counted: DataFrame, ranges: Ranges, base: str) -> DataFrame:
-    """A row per shard: paths of pairs, counts and context arrays; counts of counts; and what hot first words have here.
+    """A row per shard: the widths of its counts, counts of counts, and what hot first words have here; writes pairs,
+    counts and context arrays.
 
     Rows of kind 1 carry, for ranges of second words, how many distinct first words they follow here.
     """
-    schema = "kind int, shard int, blob binary, pairs string, counts string, context array<string>, of_counts array<long>, hot array<long>"
+    schema = "kind int, shard int, blob binary, width int, of_counts array<long>, hot array<array<long>>"
 
-    def row(kind: int, shard: int, blob: bytes | None = None, pairs: str | None = None, counts: str | None = None, context: list[str] | None = None, of_counts: list[int] | None = None, hot: list[int] | None = None) -> pa.RecordBatch:
-        columns = [pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([pairs], pa.string()), pa.array([counts], pa.string()), pa.array([context], pa.list_(pa.string())), pa.array([of_counts], pa.list_(pa.int64())), pa.array([hot], pa.list_(pa.int64()))]
+    def row(kind: int, shard: int, blob: bytes | None = None, width: int | None = None, of_counts: list[int] | None = None, hot: list[list[int]] | None = None) -> pa.RecordBatch:
+        columns = [pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([width], pa.int32()), pa.array([of_counts], pa.list_(pa.int64())), pa.array([hot], pa.list_(pa.list_(pa.int64())))]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     def step(shard: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -262,14 +270,16 @@ def pair_index(counted: DataFrame, ranges: Ranges, base: str) -> DataFrame:
         word, sums = context_stats(a, counts)
         low, high = ranges.edges[shard], ranges.edges[shard + 1]
         is_hot = np.isin(word, ranges.hot)
-        context = []
-        for (_, dtype), values in zip(CONTEXT, sums, strict=True):
+        for (name, dtype), values in zip(CONTEXT, sums, strict=True):
             dense = np.zeros(high - low, dtype)
             dense[word[~is_hot] - low] = values[~is_hot]
-            context.append(write_array(base, dense))
-        hot = np.stack([word[is_hot], *(v[is_hot] for v in sums)], axis=1).reshape(-1).tolist()
+            write_array(base, dense, f"{shard}.{name}")
+        hot = np.stack([word[is_hot], *(v[is_hot] for v in sums)], axis=1).tolist()
         of_counts = [int((counts == i).sum()) for i in range(1, 5)]
-        yield row(0, shard, pairs=write_array(base, keys), counts=write_array(base, counts.astype("<u4" if not len(counts) or int(counts.max()) < 1 << 32 else "<u8")), context=context, of_counts=of_counts, hot=hot)
+        width = 4 if int(counts.max(initial=0)) < 1 << 32 else 8
+        write_array(base, keys, f"{shard}.pairs")
+        write_array(base, counts.astype(f"<u{width}"), f"{shard}.pair_counts")
+        yield row(0, shard, width=width, of_counts=of_counts, hot=hot)
         word, n = np.unique(b, return_counts=True)
         edges = np.searchsorted(word, ranges.edges)
         for s, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -280,7 +290,7 @@ def pair_index(counted: DataFrame, ranges: Ranges, base: str) -> DataFrame:
 
 
 def continuations(index: DataFrame, ranges: Ranges, base: str) -> DataFrame:
-    """shard, path (for each second word of the range, how many first words it follows), and counts of those counts."""
+    """shard, and counts of counts; writes, for each second word of the range, how many first words it follows."""
 
     def step(shard: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         low, high = ranges.edges[shard], ranges.edges[shard + 1]
@@ -288,9 +298,10 @@ def continuations(index: DataFrame, ranges: Ranges, base: str) -> DataFrame:
         for blob in held:
             d, n = expand(blob, "<u8", "<u4")
             dense[np.cumsum(d, dtype=np.uint64).astype(np.int64) - low] += n
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([write_array(base, dense)]), pa.array([[int((dense == i).sum()) for i in range(1, 5)] + [int((dense > 2).sum()), int(dense.sum(dtype=np.int64))]], pa.list_(pa.int64()))], names=["shard", "path", "of_counts"])
+        write_array(base, dense, f"{shard}.continued")
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([[int((dense == i).sum()) for i in range(1, 5)] + [int((dense > 2).sum()), int(dense.sum(dtype=np.int64))]], pa.list_(pa.int64()))], names=["shard", "of_counts"])
 
-    return by_shard(index.filter("kind = 1").select("shard", "blob"), ranges.n, step, "shard int, path string, of_counts array<long>")
+    return by_shard(index.filter("kind = 1").select("shard", "blob"), ranges.n, step, "shard int, of_counts array<long>")
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -303,38 +314,26 @@ def discounts(n: list[int]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs; arrays are opened when first used in a worker."""
+    """What scoring needs; arrays are opened when a worker uses them."""
 
     words: Words
     ranges: Ranges
-    pairs: list[str]
-    counts: list[str]
-    context: list[list[str]]
-    continued: list[str]
+    widths: list[int]  # bytes of a count by shard of pairs; 0 where there are none
+    continued: list[bool]
     hot: np.ndarray  # word, total, n1, n2, n3: rows in order of word
     d1: np.ndarray
     d2: np.ndarray
     of_continued: list[int]
-    _open: dict | None = None
-
-    def arrays(self) -> dict:
-        if self._open is None:
-            opened = lambda paths, dtype: [open_array(p, dtype) if p else np.zeros(0, dtype) for p in paths]
-            self._open = {"pairs": opened(self.pairs, "<u8"), "continued": opened(self.continued, "<u4")}
-            narrow = opened(self.counts, "<u4")  # a shard with a count beyond 32 bits has wider ones
-            self._open["counts"] = [c if len(c) == len(k) else c.view("<u8") for c, k in zip(narrow, self._open["pairs"], strict=True)]
-            for i, (name, dtype) in enumerate(CONTEXT):
-                self._open[name] = opened([c[i] if c else "" for c in self.context], dtype)
-                if not all(self.context):
-                    self._open[name] = [x if len(x) else np.zeros(b - a, dtype) for x, a, b in zip(self._open[name], self.ranges.edges, self.ranges.edges[1:], strict=False)]
-            self._open["continued"] = [x if len(x) else np.zeros(b - a, "<u4") for x, a, b in zip(self._open["continued"], self.ranges.edges, self.ranges.edges[1:], strict=False)]
-        return self._open
+
+    def array(self, shard: int, name: str, dtype: str) -> np.ndarray:
+        there = self.continued[shard] if name == "continued" else self.widths[shard]
+        return open_array(f"{self.words.base}/{shard}.{name}" if there else "", dtype)
 
     def unigram(self, words: np.ndarray) -> np.ndarray:
         """Continuation probability of sorted numbers, -1 being the unknown word."""
         c = np.zeros(len(words))
         known = words >= 0
-        c[known] = gather(words[known], self.ranges.edges, self.arrays()["continued"], np.float64)
+        c[known] = gather(words[known], self.ranges.edges, lambda s: self.array(s, "continued", "<u4"), np.float64)
         n1, n2, _, _, n3, total = self.of_continued
         share = (self.d1[1:] @ np.array([n1, n2, n3])) / total if total else 1.0
         rest = (c - self.d1[np.minimum(c, 3).astype(int)]) / total if total else 0.0
@@ -347,8 +346,8 @@ class Model:
         first, inverse = np.unique(a, return_inverse=True)
         stats = np.zeros((4, len(first)))
         known = first >= 0
-        for i, (name, _) in enumerate(CONTEXT):
-            stats[i, known] = gather(first[known], self.ranges.edges, self.arrays()[name], np.float64)
+        for i, (name, dtype) in enumerate(CONTEXT):
+            stats[i, known] = gather(first[known], self.ranges.edges, lambda s, name=name, dtype=dtype: self.array(s, name, dtype), np.float64)
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot[:, 0], first), len(self.hot) - 1)
             is_hot = self.hot[at, 0] == first
@@ -361,41 +360,41 @@ class Model:
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.ranges.n + 1))
         for s, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-            if y > x:
+            if y > x and self.widths[s]:
                 i = both[order[x:y]]
-                at = find(self.arrays()["pairs"][s], a[i].astype(np.uint64) << PAIR | b[i].astype(np.uint64))
+                at = find(self.array(s, "pairs", "<u8"), a[i].astype(np.uint64) << PAIR | b[i].astype(np.uint64))
                 hit = at >= 0
-                c[i[hit]] = self.arrays()["counts"][s][at[hit]]
+                c[i[hit]] = self.array(s, "pair_counts", f"<u{self.widths[s]}")[at[hit]]
         upper = np.maximum(c - self.d2[np.minimum(c, 3).astype(int)], 0) / np.maximum(total[inverse], 1)
         return upper + share[inverse] * lower
 
 
 def train(docs: DataFrame, text_col: str = "text", shard_tokens: int = 6_000_000) -> Model:
-    """Fit the model to all rows of ``docs``.  The driver sees a row per shard, and the hot first words."""
+    """Fit the model to all rows of ``docs``.  The driver sees a few numbers per shard, and the hot first words: at most
+    1 / ``HOT`` of them, and for each what every shard has of it."""
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    base = fresh_path(spark, "ngrams")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    base = fresh_dir(spark, "ngrams")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = max(2, -(-total // (5 * shard_tokens)))
-    rows = {r.shard: r for r in written(vocabulary(word_counts(texts, n), n, base), "vocabulary").collect()}
-    sizes = [rows[s].n_words if s in rows else 0 for s in range(n)]
-    first = [0, *np.cumsum(sizes).tolist()]
-    words = Words(n, [rows[s].keys if s in rows else "" for s in range(n)], [rows[s].counts if s in rows else "" for s in range(n)], first, sum(r.n_tokens for r in rows.values()))
-    hot = {w + first[s] for s, r in rows.items() for w, c in zip(r.top, r.top_counts, strict=True) if c > HOT * words.n_tokens} | {words.start}
+    found = written(vocabulary(word_counts(texts, n), n, base), "vocabulary")
+    rows = {r.shard: r for r in found.select("shard", "n_words", "n_tokens").collect()}
+    first = [0, *np.cumsum([rows[s].n_words if s in rows else 0 for s in range(n)]).tolist()]
+    if first[-1] > LIMIT:
+        raise OverflowError(f"{first[-1]} distinct words: pairs of more than {LIMIT} don't fit in 64 bits")
+    words = Words(base, first, sum(r.n_tokens for r in rows.values()))
+    top = found.select("shard", F.explode(F.arrays_zip("top", "top_counts")).alias("t")).filter(F.col("t.top_counts") > HOT * words.n_tokens)
+    hot = {r.top + first[r.shard] for r in top.select("shard", "t.top").collect()} | {words.start}
     ranges = Ranges([words.n_words * i // n for i in range(n)] + [words.n_words + 1], sorted(hot))
     index = written(pair_index(pair_counts(texts, words, ranges), ranges, base), "pairs")
-    shards = {r.shard: r for r in index.filter("kind = 0").drop("blob").collect()}
+    shards = {r.shard: r for r in index.filter("kind = 0").select("shard", "width", "of_counts").collect()}
     more = {r.shard: r for r in written(continuations(index, ranges, base), "continuations").collect()}
-    own = np.array([x for r in shards.values() for x in r.hot], np.float64).reshape(-1, 5)
-    keys = np.unique(own[:, 0])
-    crowded = np.array([[k, *own[own[:, 0] == k, 1:].sum(axis=0)] for k in keys]).reshape(-1, 5)
+    each = index.filter("kind = 0").select(F.explode("hot").alias("h"))
+    sums = each.groupBy(F.col("h")[0].alias("word")).agg(*(F.sum(F.col("h")[i]).alias(f"s{i}") for i in range(1, 5)))
+    crowded = np.array(sorted(tuple(r) for r in sums.collect()), np.float64).reshape(-1, 5)
+    release(found, index)
     of = lambda found, k: [sum(r.of_counts[i] for r in found.values()) for i in range(k)]
-    return Model(
-        words, ranges, [shards[s].pairs if s in shards else "" for s in range(n)], [shards[s].counts if s in shards else "" for s in range(n)], [shards[s].context if s in shards else [] for s in range(n)],
-        [more[s].path if s in more else "" for s in range(n)], crowded, discounts(of(more, 6)), discounts(of(shards, 4)), of(more, 6),
-    )
+    return Model(words, ranges, [shards[s].width if s in shards else 0 for s in range(n)], [s in more for s in range(n)], crowded, discounts(of(more, 6)), discounts(of(shards, 4)), of(more, 6))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -5,13 +5,14 @@ in the same one).  To find such strings without sorting the corpus as one text:
 
 * A window of ``span`` bytes has a key, the least hash of its ``GRAM``-byte strings: equal windows have equal keys.
   Windows in a row with one key make a segment.  Segments that are equal within a chunk of text are merged at once.
-* Keys are counted over the corpus; only segments whose key occurs again are moved, to the shard of their key.
-  Keys that very many segments have (a line that a third of all documents hold) are refined: their windows take
+* Keys are counted over the corpus, and each task of the scan is told those of its own keys that occur again; only
+  segments with such a key are moved, to the shard of their key.  Keys that very many segments have (a line that a third of all documents hold) are refined: their windows take
   the least hash among the strings that aren't such keys, which their surroundings supply.
 * Each shard lays its distinct segments end to end, builds their suffix array by induced sorting, and computes
   permuted common prefixes; suffixes with ``span`` bytes in common are equal windows, of which the earliest stays.
 
-Nothing is sampled, and counts only route segments, so the result is exact.
+Nothing is sampled, and counts only route segments, so the result is exact.  No task opens more than one array, and
+the driver sees a row per shard and the hot keys, whose number is bounded.
 
 Defined results: texts are UTF-8 bytes, null being empty; texts shorter than ``span`` are kept; rows that repeat a
 doc_id are judged each by its own text, and a string at one start of one doc_id isn't earlier than itself; a null
@@ -22,13 +23,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, map_arrow, prepare, written
+from ._common import fresh_dir, map_arrow, prepare, release, remove, written
 from .arrays import by_shard, deltas, expand, find, merge_counts, open_array, squeeze, write_array
 from .suffix_array import permuted_lcp, suffix_array
 
@@ -39,7 +42,9 @@ CHUNK, LONGEST = 2 << 20, 256
 FLUSH = 24 << 20
 NULL = -(1 << 63)
 #: Marks the length of a segment that can hold a window twice by itself, as in text that repeats within a few words.
-TWICE = 1 << 15
+TWICE = 1 << 31
+#: Lengths and places within a chunk must stay well below the bits that they have.
+LONGEST_SPAN = 1 << 20
 #: Bits for a place within a chunk.
 PLACE = np.uint64((1 << 22) - 1)
 TOP = np.uint64(1 << 63)
@@ -134,9 +139,9 @@ def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarr
     return np.logical_and.reduceat(same, np.cumsum(length) - length)
 
 
-def repeated(key: np.ndarray, content: np.ndarray, length: np.ndarray, start: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each segment (in order of place) the first one with the same key and bytes: itself if it is the first."""
-    order = np.lexsort((length, content, key))
+def repeated(key: np.ndarray, content: np.ndarray, length: np.ndarray, start: np.ndarray, doc: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each segment the one with the same key and bytes that starts first, in order of (doc, place); itself if it does."""
+    order = np.lexsort((place, doc, length, content, key))
     k, c, n = key[order], content[order], length[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
@@ -148,6 +153,19 @@ def repeated(key: np.ndarray, content: np.ndarray, length: np.ndarray, start: np
     return first
 
 
+def beside(first: np.ndarray, doc: np.ndarray, tell: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Segments that start where their first one does but belong to another text of the same doc_id: one of each text.
+
+    Neither is earlier than the other, so that what is removed of the one is removed of the other.
+    """
+    i = np.flatnonzero((first != np.arange(len(first))) & (doc == doc[first]) & (place == place[first]) & (tell != tell[first]))
+    if len(i) < 2:
+        return i
+    order = np.lexsort((i, tell[i], first[i]))
+    f, t = first[i][order], tell[i][order]
+    return np.sort(i[order[np.concatenate([[True], (f[1:] != f[:-1]) | (t[1:] != t[:-1])])]])
+
+
 class Chunk:
     """Pieces of documents, in order of (doc_id, place): up to ``CHUNK`` bytes, or one piece."""
 
@@ -161,8 +179,11 @@ class Chunk:
         self.piece = np.searchsorted(self.begin + sizes, s.start, "right")
         self.length = s.windows + span - 1
         self.place = self.at[self.piece] + s.start - self.begin[self.piece]
-        self.first = repeated(s.key, s.content, self.length, s.start, self.text)
-        self.kept = np.flatnonzero(self.first == np.arange(len(self.first)))
+        doc, tell = self.doc[self.piece], self.tell[self.piece]
+        self.first = repeated(s.key, s.content, self.length, s.start, doc, self.place, self.text)
+        own = self.first == np.arange(len(self.first))
+        own[beside(self.first, doc, tell, self.place)] = True
+        self.kept = np.flatnonzero(own)
 
     def local(self) -> list[np.ndarray]:
         """Intervals (doc, tell, start, end) of segments that occur earlier in this chunk."""
@@ -184,9 +205,11 @@ def joined(doc: np.ndarray, tell: np.ndarray, start: np.ndarray, end: np.ndarray
 def chunks(batch: pa.RecordBatch, span: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
     """Pieces of a batch's texts; a long text is cut so that each window lies in one piece."""
     rows = sorted(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: r[:2])
-    held, size = [], 0
+    held, size, before = [], 0, None
     for doc, tell, text in rows:
-        raw = text.encode()
+        if (doc, tell) == before:  # the same row again: what goes for the first goes for it
+            continue
+        before, raw = (doc, tell), text.encode()
         for at in range(0, max(1, len(raw) - span + 1), CHUNK):
             piece = raw[at : at + CHUNK + span - 1]
             if len(piece) < span:
@@ -216,17 +239,42 @@ def blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
 
 
+class Tally:
+    """How many rows a task of the scan has read, and which: two scans deal out the rows alike if their tallies agree."""
+
+    def __init__(self):
+        self.rows, self.mark = 0, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.rows += batch.num_rows
+        both = mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) + batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        self.mark ^= int(np.bitwise_xor.reduce(mixed(both))) if len(both) else 0
+
+    def head(self) -> np.ndarray:
+        return np.array([self.rows, self.mark], "<u8")
+
+
+#: What a blob begins with: the task of the scan that it comes from, as a whole number of 8 bytes.
+HEAD, PART_BYTES = -1, 8
+
+
 def key_counts(docs: DataFrame, span: int, n_shards: int) -> DataFrame:
-    """shard, blob: of each task, the keys of its segments, how many have them, and how many distinct ones in a chunk."""
+    """shard, blob: of each task, the keys of its segments, how many have them, and how many distinct ones in a chunk.
+
+    Shard -1 - i has the tallies of tasks whose number is i modulo the shards.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        keys, counts, held, tally = [], [], 0, Tally()
+        part = TaskContext.get().partitionId()
+        said = part.to_bytes(PART_BYTES, "little")
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, c = merge_counts(np.concatenate(keys), np.concatenate(counts))
-            yield blobs([(s, squeeze(deltas(k[i]), (c[i] >> 32).astype("<u4"), c[i].astype("<u4"))) for s, i in split(shard_of(k, n_shards))])
+            yield blobs([(s, said + squeeze(deltas(k[i]), (c[i] >> 32).astype("<u4"), c[i].astype("<u4"))) for s, i in split(shard_of(k, n_shards))])
 
         for batch in batches:
+            tally.add(batch)
             for pieces in chunks(batch, span):
                 chunk = Chunk(pieces, span)
                 distinct = np.zeros(len(chunk.first), np.int64)
@@ -240,41 +288,89 @@ def key_counts(docs: DataFrame, span: int, n_shards: int) -> DataFrame:
                     keys, counts, held = [], [], 0
         if held:
             yield from flush()
+        if tally.rows:
+            yield blobs([(HEAD - part % n_shards, said + tally.head().tobytes())])
 
     return docs.mapInArrow(run, "shard int, blob binary")
 
 
-def repeated_keys(counted: DataFrame, n_shards: int, base: str, hot_floor: int) -> DataFrame:
-    """shard, path (the sorted array of keys that occur again), n_segments, hot, n_hot (keys that reach ``hot_floor``)."""
+INDEX = "part int, blob binary, n_segments long, hot array<long>, n_hot array<long>"
+
+
+def repeated_keys(counted: DataFrame, n_shards: int, hot_floor: int) -> DataFrame:
+    """What is known of the keys: for each task of the scan (part) those of its keys that occur again; and rows with
+    n_segments, hot, n_hot (keys that reach ``hot_floor``)."""
+
+    def row(part: list[int | None], blob: list[bytes | None], n: int | None = None, hot: np.ndarray | None = None, n_hot: np.ndarray | None = None) -> pa.RecordBatch:
+        more = len(part)
+        columns = [pa.array(part, pa.int32()), pa.array(blob, pa.binary()), pa.array([n] * more, pa.int64()), pa.array([hot] * more, pa.list_(pa.int64())), pa.array([n_hot] * more, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "blob", "n_segments", "hot", "n_hot"])
 
     def step(shard: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [int.from_bytes(x[:PART_BYTES], "little") for x in held]
+        if shard < 0:
+            yield row(parts, [b"h" + x[PART_BYTES:] for x in held])
+            return
         keys, counts = [], []
         for blob in held:
-            d, distinct, n = expand(blob, "<u8", "<u4", "<u4")
+            d, distinct, n = expand(blob[PART_BYTES:], "<u8", "<u4", "<u4")
             keys.append(np.cumsum(d, dtype=np.uint64))
             counts.append((distinct.astype(np.int64) << 32) + n)
         k, both = merge_counts(np.concatenate(keys), np.concatenate(counts))
         c, n = both >> 32, both & 0xFFFFFFFF
-        path = write_array(base, k[n > 1])
+        again = k[n > 1]
         big = c >= hot_floor
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([int(c.sum())], pa.int64()), pa.array([k[big].view(np.int64)], pa.list_(pa.int64())), pa.array([c[big]], pa.list_(pa.int64()))], names=["shard", "path", "n_segments", "hot", "n_hot"])
+        yield row([None], [None], int(c.sum()), k[big].view(np.int64), c[big])
+        for at in range(0, len(parts), 64):
+            told = [(p, x[find(again, x) >= 0]) for p, x in zip(parts[at : at + 64], keys[at : at + 64], strict=True)]
+            told = [(p, x) for p, x in told if len(x)]
+            if told:
+                yield row([p for p, _ in told], [b"k" + squeeze(deltas(x)) for _, x in told])
+
+    return by_shard(counted, n_shards, step, INDEX)
+
 
-    return by_shard(counted, n_shards, step, "shard int, path string, n_segments long, hot array<long>, n_hot array<long>")
+def told_keys(index: DataFrame, n_parts: int, base: str) -> DataFrame:
+    """Writes, for each task of the scan, the file of its tally and of its keys that occur again."""
 
+    def step(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        head = next(x[1:] for x in held if x[:1] == b"h")
+        keys = [np.cumsum(expand(x[1:], "<u8")[0], dtype=np.uint64) for x in held if x[:1] == b"k"]
+        found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        write_array(base, np.concatenate([np.frombuffer(head, "<u8"), found]), f"{part}.keys")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
 
-DTYPES = ("<u8", "<i8", "<i4", "<i8", "<u2", "<u2")
+    return by_shard(index.filter("part is not null").select(F.col("part").alias("shard"), "blob"), n_parts, step, "part int")
 
 
-def moved_segments(docs: DataFrame, span: int, paths: dict[int, str], hot: np.ndarray, n_shards: int) -> DataFrame:
-    """kind, shard, blob: the segments whose key occurs again, for their shards; and intervals that chunks found (kind 1)."""
+@contextmanager
+def dealt_alike(spark: SparkSession):
+    """Within, files are dealt out to tasks by their sizes alone, not by how many cores happen to be there."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
+DTYPES = ("<u8", "<i8", "<i8", "<i8", "<u4", "<u4")
+
+
+def moved_segments(docs: DataFrame, span: int, base: str, hot: np.ndarray, n_shards: int) -> DataFrame:
+    """kind, shard, blob: the segments whose key occurs again, for their shards; and intervals that chunks found (kind 1).
+
+    Each task reads the keys of its own part of the scan, and fails if its rows aren't those that were counted.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((paths, hot))
+    shared = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        paths, hot = shared.value
-        arrays = {s: open_array(p, "<u8") for s, p in paths.items()}
+        hot, tally, repeats, told = shared.value, Tally(), None, None
         compress = zstandard.ZstdCompressor(level=3).compress
         held, size = [], 0
 
@@ -282,17 +378,14 @@ def moved_segments(docs: DataFrame, span: int, paths: dict[int, str], hot: np.nd
             rows = []
             local = [np.concatenate(c) for c in zip(*(chunk.local() for chunk in held), strict=True)]
             if len(local[0]):
-                rows.append((1, 0, squeeze(*(c.astype(t) for c, t in zip(local, ("<i8", "<i4", "<i8", "<i8"), strict=True)))))
+                rows.append((1, 0, squeeze(*(c.astype("<i8") for c in local))))
             key = np.concatenate([c.segments.key[c.kept] for c in held])
             owner = np.repeat(np.arange(len(held)), [len(c.kept) for c in held])
             index = np.concatenate([c.kept for c in held])
             for s, i in split(shard_of(key, n_shards)):
                 i = i[np.argsort(key[i], kind="stable")]
                 k = key[i]
-                again = k >= TOP
-                if s in arrays:
-                    again |= find(arrays[s], k) >= 0
-                i = np.sort(i[again])
+                i = np.sort(i[(k >= TOP) | (find(repeats, k) >= 0)])
                 if not len(i):
                     continue
                 parts = [(held[o], index[i[owner[i] == o]]) for o in np.unique(owner[i])]
@@ -303,6 +396,10 @@ def moved_segments(docs: DataFrame, span: int, paths: dict[int, str], hot: np.nd
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "shard", "blob"]) if rows else None
 
         for batch in batches:
+            if told is None:
+                file = open_array(f"{base}/{TaskContext.get().partitionId()}.keys", "<u8")
+                told, repeats = file[:2], file[2:]
+            tally.add(batch)
             for pieces in chunks(batch, span):
                 held.append(Chunk(pieces, span, hot))
                 size += len(held[-1].text)
@@ -312,14 +409,16 @@ def moved_segments(docs: DataFrame, span: int, paths: dict[int, str], hot: np.nd
                     held, size = [], 0
         if held and (out := flush()) is not None:
             yield out
+        if tally.rows and tally.head().tolist() != told.tolist():
+            raise RuntimeError("the table was dealt out to tasks in another way than before: write it first, and deduplicate what was written")
 
     return docs.mapInArrow(run, "kind int, shard int, blob binary")
 
 
-def later_windows(text: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def later_windows(text: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, tell: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, window) of the windows that start earlier in another place; segments are in order of (doc, place).
 
-    Separators are symbol 1, the end is 0: no window holds either.
+    So are the windows of different segments, but for those of several texts with one doc_id.  Separators are symbol 1, the end is 0: no window holds either.
     """
     size = length + 1
     begin = np.cumsum(size) - size
@@ -331,7 +430,15 @@ def later_windows(text: np.ndarray, start: np.ndarray, length: np.ndarray, doc:
     lcp = permuted_lcp(t, sa, begin, windows, span)[sa]
     group = np.flatnonzero(np.concatenate([[True], lcp[1:] < span]))
     head = np.minimum.reduceat(sa, group)
-    head = np.repeat(head, np.diff(np.append(group, len(sa))))
+    sizes = np.diff(np.append(group, len(sa)))
+    if ((doc[1:] == doc[:-1]) & (tell[1:] != tell[:-1])).any():
+        many = np.flatnonzero(sizes > 1)
+        i = ragged(group[many], sizes[many])
+        at, of = sa[i].astype(np.int64), np.repeat(many, sizes[many])
+        s = np.searchsorted(begin, at, "right") - 1
+        order = np.lexsort((place[s] + at - begin[s], doc[s], of))
+        head[many] = at[order][np.cumsum(sizes[many]) - sizes[many]]
+    head = np.repeat(head, sizes)
     later = sa != head
     at, head = sa[later].astype(np.int64), head[later].astype(np.int64)
     s, f = np.searchsorted(begin, at, "right") - 1, np.searchsorted(begin, head, "right") - 1
@@ -343,10 +450,10 @@ def later_windows(text: np.ndarray, start: np.ndarray, length: np.ndarray, doc:
 
 
 def _intervals(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int64)), pa.array(columns[3].astype(np.int64))], names=["doc", "tell", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.int64)), pa.array(columns[3].astype(np.int64))], names=["doc", "tell", "start", "end"])
 
 
-INTERVALS = "doc long, tell int, start long, end long"
+INTERVALS = "doc long, tell long, start long, end long"
 
 
 def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
@@ -374,9 +481,11 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
         if not len(i):
             return
         content = hashes(text, start, length)
-        first = repeated(key, content, length, start, text)
+        first = repeated(key, content, length, start, doc, place, text)
         mine = np.arange(len(first))
         later = np.flatnonzero((first != mine) & ((doc != doc[first]) | (place != place[first])))
+        twin = beside(first, doc, tell, place)
+        twin = twin[np.argsort(first[twin], kind="stable")]
         yield _intervals(joined(doc[later], tell[later], place[later], place[later] + length[later], span))
         alone = np.flatnonzero(first == mine)
         _, inverse, count = np.unique(key[alone], return_inverse=True, return_counts=True)
@@ -391,9 +500,15 @@ def shard_intervals(moved: DataFrame, n_shards: int, span: int) -> DataFrame:
         part = np.repeat(edges[starts], np.diff(np.append(starts, len(by_key))))
         for _, members in split(part):
             m = np.sort(by_key[members])
-            s, window = later_windows(text, start[m], length[m], doc[m], place[m], span)
+            s, window = later_windows(text, start[m], length[m], doc[m], tell[m], place[m], span)
             at = place[m][s] + window
-            yield _intervals(joined(doc[m][s], tell[m][s], at, at + span, span))
+            found = joined(doc[m][s], tell[m][s], at, at + span, span)
+            yield _intervals(found)
+            if len(twin) and len(s):  # other texts of a doc_id with the same segment at the same place
+                low, high = np.searchsorted(first[twin], m[s]), np.searchsorted(first[twin], m[s], "right")
+                more = twin[ragged(low, high - low)]
+                at = np.repeat(at, high - low)
+                yield _intervals([doc[more], tell[more], at, at + span])
 
     return by_shard(moved.filter("kind = 0").select("shard", "blob"), n_shards, step, INTERVALS)
 
@@ -437,7 +552,7 @@ def hashes(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 def local_intervals(moved: DataFrame) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            parts = [expand(b.as_py(), "<i8", "<i4", "<i8", "<i8") for b in batch.column(0)]
+            parts = [expand(b.as_py(), "<i8", "<i8", "<i8", "<i8") for b in batch.column(0)]
             return _intervals([np.concatenate([p[i] for p in parts]) for i in range(4)]) if parts else None
 
         return step
@@ -470,25 +585,31 @@ def dedup_substrings(df: DataFrame, span: int = 100, id_col: str = "doc_id", tex
     A key is hot if at least ``hot_floor`` segments and ``hot_share`` of all have it, so that at most
     1 / ``hot_share`` hot keys are broadcast, whatever the input.
     """
-    if span < GRAM + 8:
-        raise ValueError(f"span must be at least {GRAM + 8}")
+    if not GRAM + 8 <= span <= LONGEST_SPAN:
+        raise ValueError(f"span must lie between {GRAM + 8} and {LONGEST_SPAN}")
     spark = prepare(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NULL)), "tell": F.hash("text")})
+    docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NULL)), "tell": F.xxhash64("text")})
     scan = docs.filter(F.octet_length("text") >= span).select("doc", "tell", "text")
+    if "Exchange" in scan._jdf.queryExecution().executedPlan().toString():  # it is read twice, and must be dealt out alike
+        scan = written(scan, "texts")
     total = scan.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    base = fresh_path(spark, "keys")
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    base = fresh_dir(spark, "keys")
     n_shards = max(4, -(-total // shard_bytes))
-    index = written(repeated_keys(key_counts(scan, span, n_shards), n_shards, base, hot_floor), "keys-index")
-    n_segments = index.agg(F.coalesce(F.sum("n_segments"), F.lit(0)).alias("n")).first().n
-    least_hot = max(hot_floor, int(n_segments * hot_share))
-    crowded = index.select(F.explode(F.arrays_zip("hot", "n_hot")).alias("h")).filter(F.col("h.n_hot") >= least_hot).select("h.hot").collect()
-    hot = np.array(sorted(r.hot for r in crowded), np.int64).view(np.uint64)
-    paths = {r.shard: r.path for r in index.select("shard", "path").collect()}
-    moved = written(moved_segments(scan, span, paths, hot, n_shards), "segments")
+    with dealt_alike(spark):
+        counted = key_counts(scan, span, n_shards)
+        n_parts = counted.rdd.getNumPartitions()
+        index = written(repeated_keys(counted, n_shards, hot_floor), "keys-index")
+        n_segments = index.agg(F.coalesce(F.sum("n_segments"), F.lit(0)).alias("n")).first().n
+        least_hot = max(hot_floor, int(n_segments * hot_share))
+        crowded = index.select(F.explode(F.arrays_zip("hot", "n_hot")).alias("h")).filter(F.col("h.n_hot") >= least_hot).select("h.hot").collect()
+        hot = np.array(sorted(r.hot for r in crowded), np.int64).view(np.uint64)
+        told_keys(index, n_parts, base).agg(F.count("*")).collect()
+        moved = written(moved_segments(scan, span, base, hot, n_shards), "segments")
+    remove(spark, base)
+    release(index)
     gone = written(shard_intervals(moved, n_shards, span).unionByName(local_intervals(moved)), "intervals")
+    release(moved)
     spans = gone.groupBy("doc", "tell").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     both = docs.join(spans.hint("shuffle_hash"), ["doc", "tell"], "left").select("doc_id", "text", "spans")
 

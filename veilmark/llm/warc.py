@@ -1,6 +1,8 @@
 """Dictionary-compressed WARC archives: writing pages as records, and reading them back.
 
-A Zstandard dictionary is trained on a bounded sample of the payloads.  Each archive (``.warc.zst``) begins with
+A Zstandard dictionary is trained on a bounded sample of the payloads: the ``sample_rows`` rows whose hash is least,
+of long payloads a part at a place given by the hash.  Where they are too few to train on, what was sampled is the
+dictionary itself (raw content).  Each archive (``.warc.zst``) begins with
 a skippable frame that holds the dictionary, then has one frame per record: a warcinfo record, then responses and
 revisits, so that any record can be read by itself.  Pages with equal payloads of at least ``min_revisit_bytes``
 bytes keep one response, that with the largest id; the others are revisit records that refer to it.
@@ -26,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, prepare, written
+from ._common import fresh_dir, prepare, written
+from .arrays import store_of
 
 #: Fixed values of the WARC and Zstandard formats.
 MAGIC_DICTIONARY = 0x184D2A5D
@@ -39,16 +42,20 @@ MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string"
 
 
-def train_dictionary(pages: DataFrame, html_col: str, sample_rows: int, sample_chars: int, size: int) -> bytes:
-    """A dictionary from at most ``sample_rows`` payloads, of each at most ``sample_chars`` characters; empty if they are too few."""
+def train_dictionary(pages: DataFrame, sample_rows: int, sample_chars: int, size: int) -> bytes:
+    """A dictionary from at most ``sample_rows`` payloads (columns page_id, url, html), of each at most ``sample_chars`` characters."""
     import zstandard
 
-    rows = pages.select(F.substring(F.col(html_col), 1, sample_chars).alias("x")).filter("length(x) > 0").limit(sample_rows).collect()
+    h = F.xxhash64("page_id", "url")
+    at = F.pmod(h, F.greatest(F.length("html") - sample_chars + 1, F.lit(1))) + 1
+    rows = pages.filter("html <> ''").select(h.alias("h"), F.substring(F.col("html"), at.cast("int"), F.lit(sample_chars)).alias("x")).orderBy("h", "x").limit(sample_rows).collect()
     samples = [r.x.encode() for r in rows]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""
+        if len(samples) >= 8:
+            return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little to learn from
-        return b""
+        pass
+    return (b"".join(samples) + HTTP_HEAD.encode())[-size:]
 
 
 def record(kind: str, block: bytes, headers: list[tuple[str, str]], date: str) -> bytes:
@@ -75,16 +82,14 @@ class Archive:
 
     def __init__(self, base: str, dictionary: bytes, level: int, date: str):
         import zstandard
-        from pyarrow import fs
 
         self.path = f"{base}/{uuid.uuid4().hex}.warc.zst"
-        self.store, self.place = fs.FileSystem.from_uri(self.path)
+        self.store, self.place = store_of(self.path)
         self.out = self.store.open_output_stream(self.place, compression=None)
-        learned = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        learned = zstandard.ZstdCompressionDict(dictionary)
         self.compress = zstandard.ZstdCompressor(level=level, dict_data=learned, write_checksum=True).compress
         self.records = self.bytes = 0
-        if dictionary:
-            self._write(struct.pack("<II", MAGIC_DICTIONARY, len(dictionary)) + dictionary)
+        self._write(struct.pack("<II", MAGIC_DICTIONARY, len(dictionary)) + dictionary)
         self._write(self.compress(record("warcinfo", b"software: veilmark\r\nformat: WARC File Format 1.1\r\n", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")], date)))
 
     def _write(self, data: bytes) -> None:
@@ -115,10 +120,8 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, archive_bytes: int
     rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
     heads = rows.groupBy("sha").agg(F.max("page_id").alias("head"))
     placed = rows.join(heads.hint("shuffle_hash"), "sha").select("page_id", "url", "html", "head")
-    dictionary = spark.sparkContext.broadcast(train_dictionary(rows, "html", sample_rows, sample_chars, dictionary_bytes))
-    base = fresh_path(spark, "warc")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    dictionary = spark.sparkContext.broadcast(train_dictionary(rows, sample_rows, sample_chars, dictionary_bytes))
+    base = fresh_dir(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, archive = [], None
@@ -191,12 +194,10 @@ def read_warc(manifest: DataFrame, with_html: bool = True) -> DataFrame:
     n = max(1, manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())])
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, place = fs.FileSystem.from_uri(path)
+                store, place = store_of(path)
                 with store.open_input_stream(place, compression=None) as f:
                     data = f.read()
                 rows, held = [], 0
