@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, written
+from ._common import free_name, map_arrow, release, written
 
 #: Kinds in the order in which spans at one place are listed; those after the first four come from the method alone.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -129,7 +129,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str |
     return out
 
 
-FOUND = "doc_id long, tell int, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:string,sure:boolean,contexts:array<string>>>"
+FOUND = "doc_id long, tell long, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:string,sure:boolean,contexts:array<string>>>"
 
 
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +150,7 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return step
 
     text = df[text_col].cast("string")
-    return map_arrow(df.select(df[id_col].cast("long").alias("doc_id"), F.hash(text).alias("tell"), text.alias("text")), make, FOUND)
+    return map_arrow(df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("tell"), text.alias("text")), make, FOUND)
 
 
 def graph(found: DataFrame) -> DataFrame:
@@ -228,10 +228,11 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def mask_private(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with all personal data in its text replaced; other columns, and rows without a text, stay as they are."""
-    found = find_private(df, id_col=id_col, text_col=text_col, **options).filter("size(spans) > 0").select(F.col("doc_id").alias("__id"), F.col("tell").alias("__tell"), F.col("spans").alias("__spans"))
-    found = found.dropDuplicates(["__id", "__tell"])
-    same = df[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.hash(df[text_col].cast("string")) == F.col("__tell"))
-    both = df.join(found.hint("shuffle_hash"), same, "left").drop("__id", "__tell")
+    own = [free_name(df.columns, x) for x in ("m_id", "m_tell", "m_spans")]
+    found = find_private(df, id_col=id_col, text_col=text_col, **options).filter("size(spans) > 0").select("doc_id", "tell", "spans").toDF(*own)
+    found = found.dropDuplicates(own[:2])
+    same = df[id_col].cast("long").eqNullSafe(found[own[0]]) & (F.xxhash64(df[text_col].cast("string")) == found[own[1]])
+    both = df.join(found.hint("shuffle_hash"), same, "left").drop(*own[:2])
     names, at = df.columns, df.columns.index(text_col)
 
     def make():

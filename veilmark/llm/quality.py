@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow
+from ._common import free_name, map_arrow
 
 #: Abusive words that mark a text as toxic.
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -83,12 +83,12 @@ def measure(text: str) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, upper + lower, abuse
 
 
-LEDGER = "__ledger"
+LEDGER = "ledger"
 
 
-def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with a struct of measurements in column ``__ledger``: one pass, in which nothing is shuffled."""
-    columns = df.columns
+def measured(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """``df`` with a struct of measurements in a column of its own, and that column's name: one pass, without a shuffle."""
+    columns, book_name = df.columns, free_name(df.columns, LEDGER)
     at = columns.index(text_col)
     kind = pa.struct([(n, pa.int64()) for n in NAMES])
 
@@ -96,12 +96,12 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [measure(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()]
             book = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], fields=list(kind)) if rows else pa.array([], kind)
-            return pa.RecordBatch.from_arrays([*batch.columns, book], names=[*columns, LEDGER])
+            return pa.RecordBatch.from_arrays([*batch.columns, book], names=[*columns, book_name])
 
         return step
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(df, make, f"{own}, {LEDGER} struct<{', '.join(m.replace(' ', ':') for m in MEASURES.split(', '))}>")
+    return map_arrow(df, make, f"{own}, {book_name} struct<{', '.join(m.replace(' ', ':') for m in MEASURES.split(', '))}>"), book_name
 
 
 def fail_bits(prefix: str = "") -> Column:
@@ -112,13 +112,14 @@ def fail_bits(prefix: str = "") -> Column:
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements, fail_bits: one row per row of ``df``."""
-    rows = measured(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")))
-    return rows.select("doc_id", f"{LEDGER}.*").withColumn("fail_bits", fail_bits())
+    rows, book = measured(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")))
+    return rows.select("doc_id", f"{book}.*").withColumn("fail_bits", fail_bits())
 
 
 def kept_documents(df: DataFrame, version: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that a policy's version keeps."""
-    return measured(df, text_col).filter(passes(fail_bits(f"{LEDGER}."), POLICIES[version])).select(*df.columns)
+    rows, book = measured(df, text_col)
+    return rows.filter(passes(fail_bits(f"{book}."), POLICIES[version])).select(*df.columns)
 
 
 def passes(bits: Column, rules: list[str]) -> Column:

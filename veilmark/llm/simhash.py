@@ -6,9 +6,10 @@ most ``l * max_bits / SEGMENTS`` bits (the strong form of the pigeonhole princip
 segments of that chain are equal, and of the next ones one half is: that gives the candidate keys.  Candidates
 that meet in a key are tested for the chain's budgets, then for the full Hamming distance.
 
-Distinct fingerprints alone are compared, so copies cost one row; a crowded key is linked through the points one
-bit away from its members (two share such a point if and only if they differ in at most two bits), never by all
-pairs.
+Distinct fingerprints alone are compared, so copies cost one row; a crowded key is linked through the points up to
+``max_bits / 2`` bits (rounded up) away from its members: of two that differ in at most ``max_bits`` bits some point
+lies that near to both.  So no key is compared by all pairs.  ``max_bits`` is at most ``MOST``: beyond, keys of a few
+bits would tell too little apart (``similar`` is for texts that differ more).
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated ids give a row
 each; a null id takes the smallest non-null id of its component (null if there is none); an empty table gives no
@@ -18,6 +19,7 @@ rows; columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,12 @@ from ._common import map_arrow, prepare, written
 from .components import components
 
 SEGMENTS, BITS = 8, 64
-#: Buckets up to this size are compared pair by pair; larger ones through shared points, which gives the same links.
+#: Buckets up to this size are compared pair by pair; larger ones through shared points, which connects the same.
 SMALL = 24
+MOST = 4
+#: Rows of keys that a task holds at once, and points of a crowded key.
+HELD, POINTS = 1_000_000, 8_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, words_in_shingle: int = 3, seed: int = 42) -> int:
@@ -116,8 +122,8 @@ def bucket_links(tag: np.ndarray, key: np.ndarray, fp: np.ndarray, max_bits: int
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(fp)))
     bucket = np.repeat(np.arange(len(first)), size)
-    small = (size <= SMALL)[bucket] | (max_bits > 2)
-    for d in range(1, int(size[size <= SMALL].max(initial=1)) if max_bits <= 2 else int(size.max(initial=1))):
+    small = (size <= SMALL)[bucket]
+    for d in range(1, int(size[size <= SMALL].max(initial=1))):
         i = np.flatnonzero((bucket[d:] == bucket[:-d]) & small[:-d])
         if not len(i):
             break
@@ -129,43 +135,76 @@ def bucket_links(tag: np.ndarray, key: np.ndarray, fp: np.ndarray, max_bits: int
             ok[ok] = _bits(y[ok]) <= max_bits
             if ok.any():
                 yield np.stack([fp[j[ok]], fp[j[ok] + d]])
-    if max_bits > 2:
-        return
     for b in np.flatnonzero(size > SMALL):
-        members = fp[first[b] : first[b] + size[b]]
-        mask = masks[int(tag[first[b]])][1]
-        moved = [members ^ np.uint64(1 << j) for j in range(BITS) if not mask >> j & 1]
-        if max_bits == 1:
-            for other in moved:
-                there = np.isin(other, members)
-                if there.any():
-                    yield np.stack([members[there], other[there]])
-            continue
-        points, owner = np.concatenate([members, *moved]), np.tile(members, len(moved) + 1)
-        order = np.argsort(points, kind="stable")
-        points, owner = points[order], owner[order]
-        same = points[1:] == points[:-1]
-        if same.any():
-            yield np.unique(np.stack([owner[:-1][same], owner[1:][same]]), axis=1)
+        yield from crowded_links(fp[first[b] : first[b] + size[b]], masks[int(tag[first[b]])][1], max_bits)
+
+
+def flips(mask: int, most: int) -> np.ndarray:
+    """All ways to change up to ``most`` of the bits outside of ``mask``."""
+    free = [1 << j for j in range(BITS) if not mask >> j & 1]
+    return np.array([sum(c) for n in range(most + 1) for c in combinations(free, n)], np.uint64)
+
+
+def crowded_links(members: np.ndarray, mask: int, max_bits: int) -> Iterator[np.ndarray]:
+    """Links that connect the members of one key that lie within ``max_bits`` bits.
+
+    Each member claims the points around it.  Of two claimants one at least is near (half of ``max_bits``, rounded
+    down) and the other at most one bit further, so all that claim a point link to its nearest claimant, if that one
+    is near.  Points are taken in parts, so that a part's fit in memory.
+    """
+    near = max_bits // 2
+    moves = flips(mask, (max_bits + 1) // 2)
+    is_near = _bits(moves) <= near
+    parts = -(-len(members) * len(moves) // POINTS)
+    for part in range(parts):
+        points, owner, close = [], [], []
+        for move, c in zip(moves, is_near, strict=True):
+            p = members ^ move
+            mine = np.flatnonzero((p * _ODD >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)) if parts > 1 else np.arange(len(p))
+            points.append(p[mine])
+            owner.append(members[mine])
+            close.append(np.full(len(mine), c))
+        points, owner, close = np.concatenate(points), np.concatenate(owner), np.concatenate(close)
+        order = np.lexsort((owner, ~close, points))
+        points, owner, close = points[order], owner[order], close[order]
+        new = np.concatenate([[True], points[1:] != points[:-1]]) if len(points) else np.zeros(0, bool)
+        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(points) else new
+        ok = close[head] & (owner != owner[head]) if len(points) else new
+        if ok.any():
+            yield np.unique(np.stack([owner[head][ok], owner[ok]]), axis=1)
 
 
 def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) within ``max_bits`` bits; enough of them to connect all."""
+    if not 0 <= max_bits <= MOST:
+        raise ValueError(f"max_bits must lie between 0 and {MOST}")
     masks = [(t, m - (1 << 64) if m >> 63 else m) for t, (_, m) in enumerate(key_masks(max_bits))]
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in masks)))
-    rows = distinct.select("fp", keys.alias("k")).select("k.tag", "k.key", "fp").repartition("tag", "key")
+    rows = distinct.select("fp", keys.alias("k")).select("k.tag", "k.key", "fp").repartition("tag", "key").sortWithinPartitions("tag", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
-        if not parts:
-            return
-        tag, key, fp = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        del parts
-        for edge in bucket_links(tag, key.view(np.uint64), fp.view(np.uint64), max_bits):
-            edge = edge.view(np.int64)
-            for at in range(0, edge.shape[1], 100_000):
-                part = edge[:, at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], names=["a", "b"])
+        def found(parts: list[list[np.ndarray]], whole: bool) -> tuple[list[pa.RecordBatch], list[list[np.ndarray]]]:
+            """Links of the keys that are complete, and the rows of the last key, which may go on."""
+            tag, key, fp = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            stop = len(tag)
+            if not whole:
+                stop = int(np.flatnonzero((tag != tag[-1]) | (key != key[-1]))[-1]) + 1 if ((tag != tag[-1]) | (key != key[-1])).any() else 0
+            out = []
+            for edge in bucket_links(tag[:stop], key[:stop].view(np.uint64), fp[:stop].view(np.uint64), max_bits) if stop else ():
+                edge = edge.view(np.int64)
+                out.append(pa.RecordBatch.from_arrays([pa.array(edge[0]), pa.array(edge[1])], names=["a", "b"]))
+            return out, [[tag[stop:], key[stop:], fp[stop:]]] if stop < len(tag) else []
+
+        parts, held = [], 0
+        for batch in batches:
+            parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            held += batch.num_rows
+            if held >= HELD:
+                out, parts = found(parts, False)
+                held = sum(len(p[0]) for p in parts)
+                yield from out
+        if parts:
+            yield from found(parts, True)[0]
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -202,11 +241,12 @@ def heads_of_groups(df: DataFrame, docs: DataFrame, rooted: DataFrame, id_col: s
     rows = docs.groupBy("doc_id", "tell").agg(F.count("*").alias("n"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tell"] == b["tell"])
     kept = written(rows.join(heads, same(rows, heads), "left_semi"), "kept")
-    named = df.withColumns({"__id": df[id_col].cast("long"), "__tell": F.xxhash64(df[text_col].cast("string"))})
+    # the row itself is one column, so that no name of its own can clash
+    named = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[id_col].cast("long").alias("own_id"), F.xxhash64(df[text_col].cast("string")).alias("own_tell"))
 
     def those(kept: DataFrame) -> DataFrame:
-        return named.join(kept.hint("shuffle_hash"), named["__id"].eqNullSafe(kept["doc_id"]) & (named["__tell"] == kept["tell"]), "left_semi")
+        return named.join(kept.hint("shuffle_hash"), named["own_id"].eqNullSafe(kept["doc_id"]) & (named["own_tell"] == kept["tell"]), "left_semi")
 
     if kept.filter("n > 1").isEmpty():
-        return those(kept).select(*df.columns)
-    return those(kept.filter("n = 1")).unionByName(those(kept.filter("n > 1")).dropDuplicates(["__id", "__tell"])).select(*df.columns)
+        return those(kept).select("row.*")
+    return those(kept.filter("n = 1")).unionByName(those(kept.filter("n > 1")).dropDuplicates(["own_id", "own_tell"])).select("row.*")

@@ -1,20 +1,27 @@
-"""Near-duplicates by the similarity of shingle sets: MinHash bands give candidates, each is checked exactly.
-
-Two texts are near-duplicates if the Jaccard similarity of their word-shingle sets is at least ``similarity``.  With
-``BANDS`` keys of ``ROWS`` minima each, a pair of similarity 0.8 shares no key with probability 7e-5, one of 0.9 with
-probability 5e-10.  A link is made only after both sets are compared, so that candidates that aren't similar enough
-stay apart.
-
-Texts with equal sets are one row.  In each key's bucket all members are first compared with its least and greatest
-member; after that only pairs that no chain of links connects yet are compared, so that a bucket of very many near
-copies costs two comparisons a member.
+"""Near-duplicates at a similarity: the SimHash operator for texts that differ in more than a few bits.
+
+Two texts are near-duplicates if the Jaccard similarity of their word-shingle sets is at least ``similarity``.  At 0.8
+two fingerprints differ in about 15 % of their bits, and a pigeonring over so many differences has keys of a few bits,
+which tell nothing apart.  So here the fingerprints are wide (``WIDE`` bits), candidates come from keys of shared
+minima (``BANDS`` keys of ``ROWS``: a pair of similarity 0.8 shares none with probability 7e-5, one of 0.9 with 5e-10),
+and the pigeonring prunes them: of ``SEGMENTS`` segments some chain must keep within its budgets before the full Hamming
+distance is taken.  The budget is that of ``similarity`` and 3.5 standard deviations more, so that a pair that is similar
+enough is pruned with probability 2e-4.  What is left is compared exactly: a link is made only between sets that are
+similar enough.
+
+Texts with equal sets are one row.  Members of a key are first compared with its least and greatest one; then, of
+those that no chain of links connects yet, the nearest pairs by Hamming distance, which connect what can be connected;
+at last all pairs that are left within the budget.  A key with very many members is dealt out in blocks of ``BLOCK``,
+each pair of blocks a task of its own, so that none holds more than two blocks.
 
 Defined results: null and empty texts have the empty set and link with each other; texts shorter than a shingle are
-one shingle; repeated ids give a row each; an empty table gives no rows.
+one shingle; repeated ids give a row each; a null id comes last; an empty table gives no rows; other columns stay as
+they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, prepare, written
+from ._common import map_arrow, prepare, release, written
 from .components import components
 from .simhash import heads_of_groups
 
 BANDS, ROWS, PART = 24, 5, 4096
+WIDE, SEGMENTS = 1024, 16
+BLOCK = 2048
 
 
 def shingles(text: bytes, words_in_shingle: int = 5) -> np.ndarray:
@@ -67,6 +76,40 @@ def identity(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes())
 
 
+def wide_fingerprint(found: np.ndarray) -> bytes:
+    """SimHash of a set of shingles in ``WIDE`` bits: a bit is 1 if it is set in over half the hashes."""
+    lanes = np.random.default_rng(8).integers(0, 1 << 64, (1, WIDE // 64), np.uint64) | np.uint64(1)
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(found), 255):  # sums of 255 bits fit in a byte
+        x = found[at : at + 255, None] * lanes
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(found)).tobytes()
+
+
+def budget(similarity: float) -> int:
+    """The most bits in which fingerprints of sets that are similar enough differ, but for one pair in 5,000."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(WIDE, math.ceil(WIDE * share + 3.5 * math.sqrt(WIDE * share * (1 - share))))
+
+
+def near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows of a and b differ in at most ``most`` bits, in how many): first the chains, then the distance.
+
+    On a ring of segments, if the whole keeps within ``most``, some segment starts a chain that keeps within its share
+    at every length; so pairs without a chain of three are left out.
+    """
+    d = np.bitwise_count(a ^ b).astype(np.int16)
+    chain, ok = np.zeros_like(d), np.ones(d.shape, bool)
+    for length in range(1, 4):
+        chain = chain + np.roll(d, 1 - length, axis=1)
+        ok &= chain * SEGMENTS <= length * most
+    i = np.flatnonzero(ok.any(axis=1))
+    n = d[i].sum(axis=1, dtype=np.int64)
+    return i[n <= most], n[n <= most]
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tell (a hash of the text) and text."""
     text = df[text_col].cast("string")
@@ -91,19 +134,38 @@ def sketches(rows: DataFrame, words_in_shingle: int) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, words_in_shingle: int) -> DataFrame:
-    """(fp, shingles) of the texts that ``wanted`` (doc_id, tell) names."""
+    """(fp, wide, shingles) of the texts that ``wanted`` (doc_id, tell) names."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(x.as_py() or b"", words_in_shingle) for x in batch.column(0).cast(pa.large_binary())]
             fps = np.array([identity(s) for s in sets], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(fps), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
+            return pa.RecordBatch.from_arrays([pa.array(fps), pa.array([wide_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "wide", "shingles"])
 
         return step
 
     named = wanted.select(F.col("doc_id").alias("w_id"), F.col("tell").alias("w_tell"))
     found = rows.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tell") == F.col("w_tell")), "left_semi")
-    return map_arrow(found.select("text"), make, "fp long, shingles binary").dropDuplicates(["fp"])
+    return map_arrow(found.select("text"), make, "fp long, wide binary, shingles binary").dropDuplicates(["fp"])
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+
+
+def pruned(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose wide fingerprints are near enough."""
+    most = budget(similarity)
+    of = lambda name: sets.select(F.col("fp").alias(name), F.col("wide").alias(f"of_{name}"))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            i, _ = near(_wide(batch.column(2)), _wide(batch.column(3)), most)
+            return batch.select([0, 1]).take(pa.array(i))
+
+        return step
+
+    return map_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b"), make, "a long, b long")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -124,29 +186,105 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def grouped(df: DataFrame, similarity: float, words_in_shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, tell, fp) of all rows; and (fp, root): each distinct set and its component."""
+def forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """Of links (a, b) between n groups, those of a forest that takes the nearest first."""
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in np.argsort(distance, kind="stable").tolist():
+        x, y = find(int(a[i])), find(int(b[i]))
+        if x != y:
+            root[x] = y
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def across(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) that share a key, lie near enough, and that no chain of links connects yet.
+
+    ``nearest``: of each key's (or pair of blocks') only those of a forest over what isn't connected, so that there
+    are fewer than members; else all.
+    """
+    most = budget(similarity)
+    apart = written(members.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "apart")
+    split = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = apart.join(split.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("key", "block", "fp", "root", other.alias("other")).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "root")
+    rows = rows.join(sets.select("fp", "wide"), "fp").select("key", "low", "high", "root", "fp", "wide")
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "root", "fp")
+
+    def pairs(root: np.ndarray, fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for i in range(len(fp) - 1):
+            j = int(np.searchsorted(root, root[i], "right"))  # in order of root: what follows is of other groups
+            if j < len(fp):
+                hit, d = near(wide[j:], wide[i], most)
+                found.append((np.full(len(hit), i), hit + j, d))
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            root, fp = (np.concatenate([h.column(i).to_numpy(zero_copy_only=False) for h in held]) for i in (3, 4))
+            a, b, d = pairs(root, fp, np.concatenate([_wide(h.column(5)) for h in held]))
+            if nearest and len(a):
+                names, group = np.unique(root, return_inverse=True)
+                keep = forest(group[a], group[b], d, len(names))
+                a, b = a[keep], b[keep]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], names=["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            cells = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            at = 0
+            while at < len(cells):
+                stop = at
+                while stop < len(cells) and cells[stop] == cells[at]:
+                    stop += 1
+                if cells[at] != now and held:
+                    yield done(held)
+                    held = []
+                now = cells[at]
+                held.append(batch.slice(at, stop - at))
+                at = stop
+        if held:
+            yield done(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def grouped(df: DataFrame, similarity: float, words_in_shingle: int, id_col: str, text_col: str, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tell, fp) of all rows; and (fp, root): each distinct set and its component.
+
+    ``rounds`` of nearest pairs come before all the rest; their number changes the work, not the result.
+    """
     prepare(df.sparkSession)
     rows = keyed(df, id_col, text_col)
     docs = written(sketches(rows, words_in_shingle), "sketches")
-    members = written(docs.select("fp", F.explode("keys").alias("key")).distinct(), "members")
-    crowds = members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
-    members = written(members.join(crowds.drop("n"), "key"), "buckets")
+    every = written(docs.select("fp", F.explode("keys").alias("key")).distinct(), "members")
+    crowds = every.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
+    members = written(every.join(crowds.drop("n"), "key"), "buckets")
+    release(every)
     each = docs.groupBy("fp").agg(F.min(F.struct("doc_id", "tell")).alias("r")).join(members.select("fp").distinct(), "fp", "left_semi")
     sets = written(sets_of(rows, each.select("r.doc_id", "r.tell"), words_in_shingle), "sets")
     ends = members.select("fp", F.explode(F.array("low", "high")).alias("end")).filter("fp <> end")
     tried = written(ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct(), "tried")
-    linked = written(checked(tried, sets, similarity), "linked")
-    roots = components(linked).withColumnRenamed("node", "fp")
-    apart = members.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    apart = written(apart, "apart")
-    split = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    apart = apart.join(split, "key", "left_semi")
-    one, two = apart.select("key", F.col("fp").alias("a"), F.col("root").alias("r")), apart.select("key", F.col("fp").alias("b"), F.col("root").alias("s"))
-    rest = one.join(two, "key").filter("a < b and r <> s").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(checked(rest, sets, similarity), "more")
-    if not more.isEmpty():
-        roots = components(linked.unionByName(more)).withColumnRenamed("node", "fp")
+    linked = written(checked(pruned(tried, sets, similarity), sets, similarity), "linked")
+    for i in range(rounds + 1):
+        roots = components(linked).withColumnRenamed("node", "fp")
+        fresh = written(across(members.select("key", "fp"), roots, sets, similarity, i < rounds).join(tried, ["a", "b"], "left_anti"), "fresh")
+        if fresh.isEmpty() and i == rounds:
+            break
+        more = written(checked(fresh, sets, similarity), "more")
+        tried, linked = tried.unionByName(fresh), linked.unionByName(more)
+        if i == rounds and not more.isEmpty():
+            roots = components(linked).withColumnRenamed("node", "fp")
     distinct = docs.select("fp").distinct()
     return docs.select("doc_id", "tell", "fp"), distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
