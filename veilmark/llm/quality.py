@@ -4,28 +4,32 @@ Every rule is evaluated once per document; the ledger keeps the measurements and
 versioned policy is a mask of the bits that reject, so that applying another version, or asking what each rule
 alone costs, needs bit operations over the ledger and no text.
 
+The rule on toxicity has no word list of its own: ``learn_lexicon`` finds, in a bounded sample of labelled documents,
+the words and beginnings of words that occur almost only in those labelled toxic, and the ledger counts the words that
+have one.
+
 Defined results: null and empty texts have no words and fail the rule on length; ids may be null or repeated
 (one row each); very long texts are measured whole; an empty table gives an empty ledger; columns other than id
-and text are not read.
+and text are not read.  Labels that are null, or of no document, teach nothing; without labels the lexicon is empty and
+its rule never fails.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, map_arrow
+from ._common import free_name, map_arrow, prepare, written
 
-#: Abusive words that mark a text as toxic.
-ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_abuse long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_toxic long"
 NAMES = [m.split()[0] for m in MEASURES.split(", ")]
 #: Bit i of ``fail_bits`` is rule i; each is SQL over whole numbers, the same in Spark and elsewhere.
 RULES = [
@@ -36,14 +40,14 @@ RULES = [
     ("symbols", "10 * n_symbols > 3 * n_words"),
     ("duplicate_lines", "2 * n_dup_lines > n_lines"),
     ("shouting", "10 * n_upper > 6 * n_letters"),
-    ("abuse", "n_abuse >= 2"),
+    ("toxic", "n_toxic >= 2 AND 500 * n_toxic >= n_words"),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES = {
     "base": ["few_words", "repeats"],
     "v1": ["few_words", "repeats", "short_words", "long_words", "symbols", "duplicate_lines", "shouting"],
-    "v2": ["few_words", "repeats", "short_words", "long_words", "symbols", "duplicate_lines", "shouting", "abuse"],
+    "v2": ["few_words", "repeats", "short_words", "long_words", "symbols", "duplicate_lines", "shouting", "toxic"],
 }
 CURRENT = "v2"
 
@@ -65,34 +69,103 @@ def repeat_words(words: list[bytes]) -> int:
     return covered
 
 
-_abuse = re.compile(rb"\b(?:" + "|".join(ABUSE).encode() + rb")\b")
 _upper, _lower = bytes(range(65, 91)), bytes(range(97, 123))
-_any_abuse = [w.encode() for w in ABUSE]
-
-
-def measure(text: str) -> tuple[int, ...]:
-    """The measurements, in the order of ``MEASURES``."""
-    raw = text.encode()
-    words = raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip(SPACES)]
-    low = raw.lower()
-    upper, lower = (len(raw) - len(raw.translate(None, x)) for x in (_upper, _lower))
-    abuse = len(_abuse.findall(low)) if any(w in low for w in _any_abuse) else 0
-    chars = len(text) - (len(raw) - len(raw.translate(None, SPACES)))
-    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, upper + lower, abuse
+#: Labelled documents that the lexicon is learned from at most: those whose ids hash lowest.
+N_TRAIN = 10_000
+#: A word's parts are the word without these marks around it, and its beginnings of these lengths where it is longer.
+MARKS, BEGINNINGS = ".,;:!?\"'()", (4, 5, 6, 7, 8)
+#: A part is toxic if so many toxic texts have it, and they are at least this share (in hundredths) of all that have it
+#: and ``DOUBT`` more, so that few texts have to agree wholly.  Copies of a text count once.
+LEAST_DOCUMENTS, LEAST_SHARE, DOUBT = 5, 70, 2
+MEMO = 200_000
+
+
+def parts(word: bytes) -> list[str]:
+    """A lower-cased word and its beginnings, which are marked with a star."""
+    w = word.decode().strip(MARKS)
+    return [w, *(w[:n] + "*" for n in BEGINNINGS if len(w) > n)]
+
+
+class Measure:
+    """Measures texts, with a lexicon of toxic parts of words."""
+
+    def __init__(self, lexicon: frozenset[str] = frozenset()):
+        self.lexicon, self.memo = lexicon, {}
+
+    def toxic(self, words: list[bytes]) -> int:
+        if not self.lexicon:
+            return 0
+        memo, lexicon = self.memo, self.lexicon
+        if len(memo) > MEMO:
+            memo.clear()
+        for w in set(words):
+            if w not in memo:
+                memo[w] = not lexicon.isdisjoint(parts(w))
+        return sum(map(memo.__getitem__, words))
+
+    def __call__(self, text: str) -> tuple[int, ...]:
+        """The measurements, in the order of ``MEASURES``."""
+        raw = text.encode()
+        words = raw.split()
+        lines = [x for x in raw.split(b"\n") if x.strip(SPACES)]
+        upper, lower = (len(raw) - len(raw.translate(None, x)) for x in (_upper, _lower))
+        chars = len(text) - (len(raw) - len(raw.translate(None, SPACES)))
+        symbols = len(raw) - len(raw.translate(None, SYMBOLS))
+        return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, upper + lower, self.toxic(raw.lower().split())
+
+
+def part_counts(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """part, n: in how many of the texts (column text) it occurs; counted in each task before anything is shuffled."""
+    spark = texts.sparkSession
+    chosen = spark.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, wanted = Counter(), chosen.value
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["part", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = {p for w in set(text.encode().lower().split()) for p in parts(w)}
+                counts.update(found if wanted is None else found & wanted)
+                if len(counts) > 500_000:
+                    yield flush()
+                    counts.clear()
+        if counts:
+            yield flush()
+
+    return texts.mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, n_train: int = N_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
+    """The toxic parts, from at most ``n_train`` rows of ``labels`` (doc_id, toxic).
+
+    Each part has to occur in ``LEAST_DOCUMENTS`` toxic documents of the sample, which bounds the lexicon.
+    """
+    sample = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("id"), "id", "toxic").limit(n_train)
+    rows = prepare(docs.sparkSession) and docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
+    sample = written(rows.join(F.broadcast(sample), "id").select("text", "toxic").distinct(), "labelled")
+    often = {r.part: r.n for r in part_counts(sample.filter("toxic = 1").select("text")).filter(F.col("n") >= LEAST_DOCUMENTS).collect()}
+    if not often:
+        return frozenset()
+    clean = {r.part: r.n for r in part_counts(sample.filter("toxic = 0").select("text"), frozenset(often)).collect()}
+    return frozenset(p for p, n in often.items() if 100 * n >= LEAST_SHARE * (n + clean.get(p, 0) + DOUBT))
 
 
 LEDGER = "ledger"
 
 
-def measured(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+def measured(df: DataFrame, lexicon: frozenset[str] = frozenset(), text_col: str = "text") -> tuple[DataFrame, str]:
     """``df`` with a struct of measurements in a column of its own, and that column's name: one pass, without a shuffle."""
     columns, book_name = df.columns, free_name(df.columns, LEDGER)
     at = columns.index(text_col)
     kind = pa.struct([(n, pa.int64()) for n in NAMES])
+    shared = prepare(df.sparkSession).sparkContext.broadcast(lexicon)
 
     def make():
+        measure = Measure(shared.value)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [measure(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()]
             book = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], fields=list(kind)) if rows else pa.array([], kind)
@@ -110,15 +183,15 @@ def fail_bits(prefix: str = "") -> Column:
     return F.expr(" + ".join(f"CASE WHEN {rule} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(named)))
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(df: DataFrame, lexicon: frozenset[str] = frozenset(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements, fail_bits: one row per row of ``df``."""
-    rows, book = measured(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")))
+    rows, book = measured(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")), lexicon)
     return rows.select("doc_id", f"{book}.*").withColumn("fail_bits", fail_bits())
 
 
-def kept_documents(df: DataFrame, version: str = CURRENT, text_col: str = "text") -> DataFrame:
+def kept_documents(df: DataFrame, lexicon: frozenset[str] = frozenset(), version: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that a policy's version keeps."""
-    rows, book = measured(df, text_col)
+    rows, book = measured(df, lexicon, text_col)
     return rows.filter(passes(fail_bits(f"{book}."), POLICIES[version])).select(*df.columns)
 
 
@@ -149,13 +222,31 @@ def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The ledger under the current policy in DuckDB SQL, written apart from the code above."""
+    """The ledger under the current policy in DuckDB SQL, written apart from the code above.
+
+    The lexicon is learned from all labels: from as many as the sample, where there are no more than ``N_TRAIN``.
+    """
     policy = " OR ".join(f"({rule})" for name, rule in RULES if name in POLICIES[CURRENT])
     bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
+    return f"""{_book_sql()}
+SELECT *, ({bits})::BIGINT AS fail_bits, ({RULES[0][1]}) OR ({RULES[1][1]}) AS base_failed, NOT ({policy}) AS kept FROM m
+"""
+
+
+def _book_sql() -> str:
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    beginnings = " ".join(f"UNION ALL SELECT w, left(s, {n}) || '*' FROM strips WHERE length(s) > {n}" for n in BEGINNINGS)
     return f"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+WITH d AS (SELECT row_number() OVER () AS k, dense_rank() OVER (ORDER BY text) AS u, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, u, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+said AS (SELECT k, u, doc_id, w, count(*) AS n FROM (SELECT k, u, doc_id, unnest(regexp_extract_all(translate(t, '{capitals}', '{small}'), '[^\\x20\\x09-\\x0D]+')) AS w FROM w) GROUP BY ALL),
+strips AS (SELECT w, trim(w, '.,;:!?"''()') AS s FROM (SELECT DISTINCT w FROM said)),
+parts AS (SELECT w, s AS p FROM strips {beginnings}),
+taught AS (SELECT p, count(DISTINCT u) FILTER (toxic = 1) AS a, count(DISTINCT u) FILTER (toxic = 0) AS b
+        FROM said JOIN labels USING (doc_id) JOIN parts USING (w) GROUP BY p),
+lexicon AS (SELECT p FROM taught WHERE a >= {LEAST_DOCUMENTS} AND 100 * a >= {LEAST_SHARE} * (a + b + {DOUBT})),
+tox AS (SELECT k, sum(n) AS n FROM said WHERE w IN (SELECT w FROM parts JOIN lexicon USING (p)) GROUP BY k),
 tri AS (SELECT k, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
         FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM tri) WHERE c > 1),
@@ -167,7 +258,15 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
         coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
         length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
         length(regexp_replace(t, '[^A-Za-z]', '', 'g'))::BIGINT AS n_letters,
-        len(regexp_extract_all(lower(t), '\\b(?:{"|".join(ABUSE)})\\b'))::BIGINT AS n_abuse
-      FROM w LEFT JOIN cov ON cov.k = w.k)
-SELECT *, ({bits})::BIGINT AS fail_bits, ({RULES[0][1]}) OR ({RULES[1][1]}) AS base_failed, NOT ({policy}) AS kept FROM m
-"""
+        coalesce(tox.n, 0)::BIGINT AS n_toxic
+      FROM w LEFT JOIN cov ON cov.k = w.k LEFT JOIN tox ON tox.k = w.k)"""
+
+
+def ablations_sql(version: str = CURRENT) -> str:
+    """``ablations`` in DuckDB SQL: each rule is judged over the measurements, not over bits."""
+    rules = [(name, rule) for name, rule in RULES if name in POLICIES[version]]
+    rows = []
+    for name, rule in rules:
+        rest = " AND ".join(f"NOT ({r})" for n, r in rules if n != name)
+        rows.append(f"SELECT '{name}' AS rule, count(*) FILTER ({rule}) AS n_failed, count(*) FILTER (({rule}) AND {rest}) AS n_only, count(*) FILTER ({rest}) AS n_kept_without FROM m")
+    return _book_sql() + "\n" + "\nUNION ALL ".join(rows)

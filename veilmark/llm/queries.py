@@ -27,7 +27,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return quality.apply_policy(quality.ledger(docs, quality.learn_lexicon(docs, table(spark, sf_dir, "labels"))))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.ablations(quality.ledger(docs, quality.learn_lexicon(docs, table(spark, sf_dir, "labels"))))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +65,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_warc, op3_quality_rules, op4_html_text, op5_token_counts, op6_private_data, op7_kneser_ney, op8_simhash, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_warc, op3_quality_rules, op4_html_text, op5_token_counts, op6_private_data, op7_kneser_ney, op8_simhash, op9_decontamination, op10_packing, quality_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.oracle_sql(0), "op3_quality_rules": quality.oracle_sql()}
+    return {"op2_warc": warc.oracle_sql(0), "op3_quality_rules": quality.oracle_sql(), "quality_ablations": quality.ablations_sql()}
