@@ -20,7 +20,8 @@ from veilmark.llm.similar import one_of_similar
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    return quality.kept_documents(prepare(spark) and docs, quality.CURRENT)
+    lexicon = quality.learn_lexicon(prepare(spark) and docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.kept_documents(docs, lexicon, quality.CURRENT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
