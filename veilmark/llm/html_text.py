@@ -1,13 +1,15 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
 Each block element of the page is a variable: content, or boilerplate.  A node's evidence comes from its own tag,
-names, text and links; an edge's potential from the labels of parent and child, by their kinds.  Messages go up from
-the leaves and down from the root (sum-product), and a node's text is kept where its marginal is for content.
+names, text and links; an edge's potential from the labels of parent and child, by their kinds.  One more factor holds
+a node and its children together: content has text of its own or a child that is content.  Messages go up from the
+leaves and down from the root (sum-product; the factor takes a product of messages less another), and a node's text is
+kept where its marginal is for content.
 
-Both potentials are fitted together, by the likelihood of the labels given the pages, to labelled pages:
-``labelled_pages`` makes them, in layouts of many kinds, with a mark in the main text (``N_TRAIN`` pages: the
-documented bound).  A node is content if its subtree holds main text, so
-boilerplate passes downward and never up.
+Both potentials are fitted together, by the likelihood of the labels given the pages, to labelled pages: HTML in which
+each run of main text begins with ``MARK``.  ``fit`` takes any such pages; where there are none ``made_model`` fits to
+those that ``labelled_pages`` makes, in layouts of many kinds (``N_TRAIN`` pages: the documented bound).  A node is
+content if its subtree holds main text, so boilerplate passes downward and never up.
 
 Defined results: null and empty pages give an empty text; a page cut short is read as far as it goes; repeated ids
 give a row each; an empty table gives no rows; columns other than id, url and html are not read.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +30,7 @@ from ._common import map_arrow, prepare
 from .dom import Page
 
 MARK = ""
-N_TRAIN = 500
+N_TRAIN = 800
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long"
 
 #: Words of class and id attributes that sites commonly give to the parts of a page.
@@ -67,13 +70,14 @@ def _attrs(r: random.Random, part: str | list[str], chance: float = 1.0) -> str:
 
 def _boiler(r: random.Random, kind: str) -> str:
     """A part of the page that isn't main text; its prose can be as long as the article's."""
-    semantic = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "comments": "section"}.get(kind, "div")
+    semantic = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "comments": r.choice(["section", "div", "div"])}.get(kind, "div")
     tag = semantic if r.random() < 0.6 else r.choice(["div", "div", "section", "ul" if kind == "nav" else "div"])
     attrs = _attrs(r, kind, 0.5 if tag in ("nav", "header", "footer", "aside", "form") else 1.0)
     sentence = lambda: _words(r, r.randint(3, 40))
     links = "".join(f"<li>{_link(r)}</li>" for _ in range(r.randint(2, 9)))
     links = links if tag == "ul" else f"<ul>{links}</ul>"
     prose = "".join(f"<p>{sentence()}</p>" for _ in range(r.randint(1, 3)))
+    one = r.choice(["div", "div", "article"])
     inner = {
         "nav": [links, " | ".join(_link(r) for _ in range(4))],
         "header": [f"<h1>{_words(r, 3)}</h1>", f"<p>{sentence()}</p>", f"<div>{_link(r)}</div>{links}", sentence()],
@@ -82,7 +86,7 @@ def _boiler(r: random.Random, kind: str) -> str:
         "notice": [f"<p>{sentence()}</p><button>OK</button>", sentence(), f"{sentence()} {_link(r)}", prose],
         "ad": [sentence(), f"<p>{sentence()}</p>", f"{_link(r)}", f"<p>{sentence()} {_link(r)}</p>"],
         "form": [f"<label>{_words(r, 2)}</label><input><button>Go</button>", f"<p>{sentence()}</p><input>", f"<h3>{_words(r, 3)}</h3><p>{sentence()}</p><input>"],
-        "comments": ["<h3>Comments</h3>" + "".join(f"<div{_attrs(r, 'comments', 0.7)}><b>{_words(r, 1)}</b><p>{sentence()}</p></div>" for _ in range(r.randint(1, 5))), f"<ol>{''.join(f'<li><p>{sentence()}</p></li>' for _ in range(3))}</ol>", prose],
+        "comments": ["<h3>Comments</h3>" + "".join(f"<{one}{_attrs(r, 'comments', 0.8)}><b>{_words(r, 1)}</b><p>{sentence()}</p></{one}>" for _ in range(r.randint(1, 5))), f"<ol>{''.join(f'<li><p>{sentence()}</p></li>' for _ in range(3))}</ol>", prose],
         "share": [" ".join(_link(r) for _ in range(3)), links],
     }[kind]
     return f"<{tag}{attrs}>{r.choice(inner)}</{tag}>"
@@ -108,17 +112,31 @@ def _article(r: random.Random) -> str:
         elif kind < 0.93:
             out.append(f"<pre>{say(3, 20)}</pre>")
         elif kind < 0.95:
-            out.append(f"<div{_attrs(r, NEUTRAL, 0.5)}><p>{say(5, 50)}</p></div>")
+            out.append(f"<div{_attrs(r, r.choice([NEUTRAL, MAIN]), 0.6)}><p>{say(5, 50)}</p></div>")
+        elif kind < 0.96:
+            out.append(f"<figure><figcaption>{say(2, 15)}</figcaption></figure>")
         else:
             out.append(_boiler(r, r.choice(["ad", "share", "side", "notice", "form"])))
+    if r.random() < 0.3 and len(out) > 1:  # parts of the article in sections of their own
+        at = sorted(r.sample(range(len(out) + 1), 2))
+        out[at[0] : at[1]] = [f"<section{_attrs(r, r.choice([MAIN, NEUTRAL]), 0.6)}>{''.join(out[at[0] : at[1]])}</section>"]
+    if r.random() < 0.05 and out[0].startswith("<h1"):
+        out[0] = f"<header{_attrs(r, MAIN + NEUTRAL, 0.3)}>{out[0]}</header>"
+    if r.random() < 0.2:  # what readers say, and a page's small print, can stand inside
+        out.append(_boiler(r, r.choice(["comments", "comments", "comments", "footer"])))
     body = "".join(out)
     shape = r.random()
-    if shape < 0.5:
+    if shape < 0.45:
         return f"<article{_attrs(r, MAIN, 0.4)}>{body}</article>"
-    if shape < 0.65:
+    if shape < 0.6:
         return f"<main>{body}</main>"
-    if shape < 0.95:
+    if shape < 0.7:
+        return f"<section{_attrs(r, MAIN)}>{body}</section>"
+    if shape < 0.88:
         return f"<div{_attrs(r, MAIN)}>{body}</div>"
+    if shape < 0.95:  # in several containers of one kind
+        name, at = _attrs(r, MAIN), r.randint(0, len(out))
+        return "".join(f"<div{name}>{''.join(x)}</div>" for x in (out[:at], out[at:]) if x)
     return body
 
 
@@ -129,7 +147,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
         top = [_boiler(r, k) for k in ("header", "nav", "notice", "ad", "form") if r.random() < 0.5]
         low = [_boiler(r, k) for k in ("comments", "side", "ad", "share", "form", "notice") if r.random() < 0.4]
         foot = [_boiler(r, "footer")] if r.random() < 0.85 else []
-        middle = _article(r)
+        middle = _article(r) if r.random() < 0.96 else ""
         if r.random() < 0.35:
             side = _boiler(r, "side")
             middle = f"<div{_attrs(r, NEUTRAL)}>{''.join(r.sample([middle, side], 2))}</div>"
@@ -140,7 +158,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
         inner = "".join([*top, middle, *low, *foot])
         if r.random() < 0.2:
             inner = f"<div{_attrs(r, NEUTRAL)}>{inner}</div>"
-        out.append(f"<!DOCTYPE html><html><head><title>{_words(r, 4)}</title><style>p{{}}</style></head><body>{inner}</body></html>")
+        out.append(inner if r.random() < 0.1 else f"<!DOCTYPE html><html><head><title>{_words(r, 4)}</title><style>p{{}}</style></head><body>{inner}</body></html>")
     return out
 
 
@@ -183,6 +201,8 @@ def features(page: Page) -> list[list[str]]:
     return out
 
 
+#: The least that is left of a probability.
+TINY = 1e-12
 #: Of an edge of kinds that training never saw: boilerplate passes downward.
 FLAT = ((1.0, 1e-3), (0.5, 0.5))
 
@@ -196,34 +216,42 @@ class Model:
     def marginals(self, page: Page) -> list[float]:
         """Of each node, the probability of content: messages up, then down."""
         weights, parent, n = self.weights, page.parent, len(page.tag)
-        b0, b1 = [1.0] * n, [1.0] * n  # a node's belief from its evidence and the messages of its children
-        for i, f in enumerate(features(page)):
-            odds = sum(weights.get(x, 0.0) for x in f)
-            b1[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-            b0[i] = 1 - b1[i]
-        up: list[tuple[float, float]] = [(1.0, 1.0)] * n
+        log, exp, own = math.log, math.exp, page.chars
+        odds = [max(-30.0, min(30.0, sum(weights.get(x, 0.0) for x in f))) for f in features(page)]
         tables = [None, *(self.edges.get(edge_kind(page, i), FLAT) for i in range(1, n))]
-        for i in range(n - 1, 0, -1):
-            (t00, t01), (t10, t11) = tables[i]
-            m0, m1 = t00 * b0[i] + t01 * b1[i], t10 * b0[i] + t11 * b1[i]
-            s = m0 + m1 or 1.0
-            m0, m1 = max(m0 / s, 1e-12), max(m1 / s, 1e-12)
-            up[i], p = (m0, m1), parent[i]
-            b0[p], b1[p] = b0[p] * m0, b1[p] * m1
-            if (s := b0[p] + b1[p]) < 1e-100:
-                b0[p], b1[p] = b0[p] * 1e100, b1[p] * 1e100
-        out = [0.0] * n
-        s = b0[0] + b1[0]
-        full = [(b0[0] / s, b1[0] / s)] * n
-        out[0] = full[0][1]
+        # logarithms: beliefs from below; products of the children's messages to a parent that is boilerplate, to one
+        # that is content, and to one that is content by children that are all boilerplate
+        b0, b1, low, any_, none = ([0.0] * n for _ in range(5))
+        up: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)] * n
+
+        def some(all_ways: float, without: float) -> float:
+            return all_ways + log(max(TINY, -math.expm1(min(0.0, without - all_ways))))
+
+        for i in range(n - 1, -1, -1):
+            b0[i], b1[i] = low[i], odds[i] + (any_[i] if own[i] else some(any_[i], none[i]))
+            top = max(b0[i], b1[i])
+            b0[i], b1[i] = b0[i] - top, b1[i] - top
+            if i:
+                (t00, t01), (t10, t11) = tables[i]
+                x0, x1 = exp(b0[i]), exp(b1[i])
+                up[i] = m0, m1, z = log(t00 * x0 + t01 * x1 + TINY), log(t10 * x0 + t11 * x1 + TINY), log(t10 * x0 + TINY)
+                p = parent[i]
+                low[p], any_[p], none[p] = low[p] + m0, any_[p] + m1, none[p] + z
+        out, above = [0.0] * n, [(0.0, 0.0)] * n
+        out[0] = 1 / (1 + exp(min(700.0, b0[0] - b1[0])))
         for i in range(1, n):
             (t00, t01), (t10, t11) = tables[i]
-            f0, f1 = full[parent[i]]
-            c0, c1 = f0 / up[i][0], f1 / up[i][1]  # the parent without this child
-            d0, d1 = (c0 * t00 + c1 * t10) * b0[i], (c0 * t01 + c1 * t11) * b1[i]
-            s = d0 + d1 or 1.0
-            full[i] = (d0 / s, d1 / s)
-            out[i] = d1 / s
+            p, (m0, m1, z) = parent[i], up[i]
+            a0, a1 = above[p]
+            free = a1 + odds[p] + any_[p] - m1  # the parent is content, and so is this child, or need not be
+            bound = free if own[p] else a1 + odds[p] + some(any_[p] - m1, none[p] - z)
+            boiler = a0 + low[p] - m0
+            top = max(free, bound, boiler)
+            f0, f1, f2 = exp(boiler - top), exp(bound - top), exp(free - top)
+            c0, c1 = f0 * t00 + f1 * t10 + TINY, f0 * t01 + f2 * t11 + TINY
+            above[i] = log(c0), log(c1)
+            d0, d1 = c0 * exp(b0[i]), c1 * exp(b1[i])
+            out[i] = d1 / (d0 + d1) if d0 + d1 else 0.0
         return out
 
     def text(self, html: str) -> tuple[str, int]:
@@ -263,6 +291,7 @@ class Forest:
         self.kinds: dict[str, int] = {}
         self.kind = np.array([self.kinds.setdefault(edge_kind(p, i), len(self.kinds)) if i else 0 for p in pages for i in range(len(p.tag))])
         self.y = np.concatenate([labels(p) for p in pages])
+        self.own = np.concatenate([np.array(p.chars) > 0 for p in pages])
         depth = np.zeros(len(self.parent), np.int64)
         for i, p in enumerate(self.parent.tolist()):  # parents come first
             depth[i] = depth[p] + 1 if p >= 0 else 0
@@ -270,30 +299,51 @@ class Forest:
 
     def expected(self, node: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of content by node; and, by edge kind, the expected numbers of (parent, child) labels."""
-        belief = np.stack([np.zeros_like(node), node], axis=1)
-        up = np.zeros_like(belief)
+        some = lambda all_ways, without: all_ways + np.log(np.maximum(-np.expm1(np.minimum(without - all_ways, 0.0)), TINY))
+        below, up, sums, above = (np.zeros((len(node), k)) for k in (2, 3, 3, 2))
+
+        def settle(i: np.ndarray) -> None:
+            low, any_, none = sums[i].T
+            below[i] = np.stack([low, node[i] + np.where(self.own[i], any_, some(any_, none))], axis=1)
+
         for level in reversed(self.levels):
-            t = edge[self.kind[level]] + belief[level][:, None, :]
-            up[level] = np.logaddexp(t[:, :, 0], t[:, :, 1])
-            np.add.at(belief, self.parent[level], up[level])
+            settle(level)
+            t = edge[self.kind[level]] + below[level][:, None, :]
+            both = np.logaddexp(t[:, :, 0], t[:, :, 1])
+            up[level] = np.column_stack([both, t[:, 1, 0]])
+            np.add.at(sums, self.parent[level], up[level])
+        settle(np.flatnonzero(self.parent < 0))
         pairs = np.zeros_like(edge)
-        for level in self.levels:  # belief becomes what the whole tree says
-            rest = belief[self.parent[level]] - up[level]
-            t = edge[self.kind[level]] + rest[:, :, None] + belief[level][:, None, :]
-            p = np.exp(t - t.max(axis=(1, 2), keepdims=True))
-            p /= p.sum(axis=(1, 2), keepdims=True)
-            np.add.at(pairs, self.kind[level], p)
-            belief[level] = np.log(np.maximum(p.sum(axis=1), 1e-300))
-        return 1 / (1 + np.exp(belief[:, 0] - belief[:, 1])), pairs
+        for level in self.levels:
+            p = self.parent[level]
+            low, any_, none = (sums[p] - up[level]).T
+            boiler, free = above[p, 0] + low, above[p, 1] + node[p] + any_
+            bound = np.where(self.own[p], free, above[p, 1] + node[p] + some(any_, none))
+            t = edge[self.kind[level]] + np.stack([np.stack([boiler, boiler], axis=1), np.stack([bound, free], axis=1)], axis=1)
+            above[level] = np.logaddexp(t[:, 0], t[:, 1])
+            above[level] -= above[level].max(axis=1, keepdims=True)
+            t = t + below[level][:, None, :]
+            q = np.exp(t - t.max(axis=(1, 2), keepdims=True))
+            q /= q.sum(axis=(1, 2), keepdims=True)
+            np.add.at(pairs, self.kind[level], q)
+        whole = below + above
+        return 1 / (1 + np.exp(np.clip(whole[:, 0] - whole[:, 1], -700, 700))), pairs
 
 
 @lru_cache(maxsize=4)
-def fit(n_train: int = N_TRAIN, seed: int = 7, rounds: int = 150, rate: float = 0.15, ridge: float = 2e-5) -> Model:
-    """Potentials of greatest conditional likelihood over the made pages.
+def made_model(n_train: int = N_TRAIN, seed: int = 7) -> Model:
+    """The model fitted to made pages."""
+    return fit(labelled_pages(n_train, seed))
+
+
+def fit(pages: Sequence[str], rounds: int = 150, rate: float = 0.15, ridge: float = 2e-5) -> Model:
+    """Potentials of greatest conditional likelihood over labelled pages, in which main text is marked.
 
     Steps are scaled by each parameter's past gradients (Adam), so that rare names learn as fast as common tags.
     """
-    forest = Forest([Page(h) for h in labelled_pages(n_train, seed)])
+    if not pages:
+        raise ValueError("there are no labelled pages")
+    forest = Forest([Page(h) for h in pages])
     n = len(forest.parent)
     n_w, shape = len(forest.names), (len(forest.kinds), 2, 2)
     x, mean, square = (np.zeros(n_w + 4 * len(forest.kinds)) for _ in range(3))
@@ -311,10 +361,12 @@ def fit(n_train: int = N_TRAIN, seed: int = 7, rounds: int = 150, rate: float =
     return Model({k: float(w[i]) for k, i in forest.names.items()}, {k: tuple(tuple(map(float, row)) for row in tables[i]) for k, i in forest.kinds.items()})
 
 
-def main_text(df: DataFrame, n_train: int = N_TRAIN, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks of each row.  The model is fitted on the driver to ``n_train`` pages and broadcast."""
+def main_text(df: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks of each row, by a fitted model, or else by that of made pages.
+
+    Models are fitted on the driver, and broadcast: their size is that of the words and tags known."""
     spark = prepare(df.sparkSession)
-    model = spark.sparkContext.broadcast(fit(n_train))
+    model = spark.sparkContext.broadcast(model or made_model())
 
     def make():
         find = model.value.text
