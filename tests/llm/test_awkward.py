@@ -201,3 +201,43 @@ def test_shared_folder(spark):
     kept = _common.written(spark.range(3), "y")
     _common.release(kept)
     assert not os.path.exists(kept.stored_at.removeprefix("file://"))
+
+
+def test_identifier_runs_match_a_plain_pattern():
+    """The linear scanner against the pattern that says what it looks for."""
+    import re
+
+    from veilmark.llm import private
+
+    plain = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z._@+/=-]*[0-9])[A-Za-z0-9][A-Za-z0-9._@+/=-]{4,}[A-Za-z0-9=]")
+    r = random.Random(8)
+    for _ in range(4000):
+        t = "".join(r.choices("ab1-._@+/= é\n", k=r.randint(0, 24)))
+        assert private.runs(t) == [m.span() for m in plain.finditer(t)], t
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(4000):
+        t = "".join(r.choices("12.. a", k=r.randint(0, 24)))
+        assert [m.span() for m in private.IP.finditer(t)] == [m.span() for m in ip.finditer(t)], t
+
+
+@pytest.mark.parametrize("unit", ["a", "7", "-", ".", "1.", "a-", "1-", "a@", "@", "+", "+1", "(1) ", "1 ", "f", "=", "a.", "0x"])
+def test_private_data_in_long_runs(unit):
+    """A million characters of one kind take less than two seconds."""
+    import time
+
+    from veilmark.llm import private
+
+    for text in (unit * (1_000_000 // len(unit)), "x@y.zz 1.2.3.4 +1 " + unit * (1_000_000 // len(unit)) + " @ z"):
+        began = time.process_time()
+        private.candidates(text, private.base_spans(text))
+        assert time.process_time() - began < 2
+
+
+def test_short_items_are_matched_exactly(spark):
+    from veilmark.llm.decontaminate import contaminated
+
+    items = spark.createDataFrame([(1, "Who  wrote it?"), (2, "yes"), (3, ""), (4, None), (None, "no id here")], "item_id long, text string")
+    texts = [(1, "so: who wrote it? He did."), (2, "who wrote its"), (3, "Yes"), (4, "eyes yesterday"), (5, "say YES, or"), (None, "there is no  ID\nhere"), (6, None), (7, "who wrote it"), (7, "who wrote it?")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.edits, r.start_char, r.end_char) for r in contaminated(docs, items).collect())
+    assert got == [(0, 0, 0, 9, 20), (1, 1, 0, 4, 17), (3, 2, 0, 0, 3), (5, 2, 0, 4, 7), (7, 1, 0, 0, 13)]

@@ -11,6 +11,10 @@ patterns.  Instances of which nothing is known weigh ``UNKNOWN`` of a contradict
 The graph has a row per distinct (pattern, instance), aggregated before it is shuffled; a pattern that very many
 identifiers share is many rows, never one.
 
+A pattern needs ``min_instances`` believed instances (5), so a corpus with fewer identifiers in one context gives base
+spans and secrets after credential words alone.  Contexts are taken from the ``CONTEXT_CHARS`` characters before a
+string (80): a label that stands further away, or words longer than that, don't count.
+
 Defined results: a null or empty text has no spans; repeated rows have theirs each; null ids are kept; very long
 texts are read whole; an empty table gives no rows; columns other than id and text are not read.
 """
@@ -30,17 +34,19 @@ from ._common import free_name, map_arrow, release, written
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 
-#: The base patterns.
+#: The base patterns.  A match of digits begins at the first of its run and takes the run whole, so nothing
+#: is tried twice and the time is linear in the text.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Strings that look like identifiers: at least six characters, a digit among them.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z._@+/=-]*[0-9])[A-Za-z0-9][A-Za-z0-9._@+/=-]{4,}[A-Za-z0-9=]")
+RUN = re.compile(r"[A-Za-z0-9._@+/=-]{6,}+")
+FIRST, LEAST = re.compile(r"[A-Za-z0-9]"), 6
 #: Groups of digits with single blanks, dots, hyphens or brackets between, and account numbers written in blocks.
 GROUPS = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|(?:\([0-9]{1,6}\)|[0-9]{1,6})(?:[\x20./-]?\([0-9]{1,6}\)|(?:(?<=\))|[\x20./-])\x20?[0-9]{1,6})+)(?![A-Za-z0-9])")
 GROUP_DIGITS = range(7, 25)
@@ -106,6 +112,22 @@ def contexts(text: str, start: int) -> list[str]:
     return [" ".join(words[-n:]) for n in range(2, len(words) + 1) if any(w.isalpha() for w in words[-n:])]
 
 
+def runs(text: str) -> list[tuple[int, int]]:
+    """Strings of letters, digits and a few marks that begin with a letter or digit, end so or with =, and hold a digit."""
+    out = []
+    for m in RUN.finditer(text):
+        first = FIRST.search(text, m.start(), m.end())
+        if first and DIGIT.search(text, first.start(), m.end()):
+            end = m.start() + len(m[0].rstrip("._@+/-"))
+            if end - first.start() >= LEAST:
+                out.append((first.start(), end))
+    return out
+
+
+def found_by(pattern: re.Pattern | None, text: str) -> list[tuple[int, int]]:
+    return runs(text) if pattern is None else [m.span() for m in pattern.finditer(text)]
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int]]:
     """(kind if a seed, start, end): base spans and all other strings that look like identifiers, outside of them.
 
@@ -114,22 +136,23 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str |
     out: list[tuple[str | None, int, int]] = list(base)
     if DIGIT.search(text):
         taken = sorted((a, b) for _, a, b in base)
-        for pattern in (HEX, GROUPS, CANDIDATE):
+        for pattern in (HEX, GROUPS, None):
             i, new = 0, []
-            for m in pattern.finditer(text):
-                if pattern is GROUPS and m[0][0].isascii() and not m[0][0].isalpha() and len(NOT_DIGIT.sub("", m[0])) not in GROUP_DIGITS:
+            for start, end in found_by(pattern, text):
+                value = text[start:end]
+                if pattern is GROUPS and not value[0].isalpha() and len(NOT_DIGIT.sub("", value)) not in GROUP_DIGITS:
                     continue
-                while i < len(taken) and taken[i][1] <= m.start():
+                while i < len(taken) and taken[i][1] <= start:
                     i += 1
-                if i < len(taken) and taken[i][0] < m.end():
+                if i < len(taken) and taken[i][0] < end:
                     continue
-                new.append((m.start(), m.end()))
-                out.append(("secret" if SECRET.fullmatch(m[0]) else NONE if NOT.fullmatch(m[0]) else None, m.start(), m.end()))
+                new.append((start, end))
+                out.append(("secret" if SECRET.fullmatch(value) else NONE if NOT.fullmatch(value) else None, start, end))
             taken = sorted(taken + new)
     return out
 
 
-FOUND = "doc_id long, tell long, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:string,sure:boolean,contexts:array<string>>>"
+FOUND = "doc_id long, tell long, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,value:long,sure:boolean,contexts:array<string>>>"
 
 
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,14 +160,20 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def make():
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        seen = pa.struct([*span, ("value", pa.string()), ("sure", pa.bool_()), ("contexts", pa.list_(pa.string()))])
+        seen = pa.struct([*span, ("value", pa.int64()), ("sure", pa.bool_()), ("contexts", pa.list_(pa.string()))])
+
+        import xxhash
+
+        def number(value: str) -> int:
+            h = xxhash.xxh64_intdigest(value.encode())
+            return h - (1 << 64) if h >> 63 else h
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             bases, others = [], []
             for text in batch.column(2).to_pylist():
                 base = base_spans(text) if text else []
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                others.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "sure": k == "secret" and bool(CREDENTIAL.search(text[max(0, a - CONTEXT_CHARS) : a])), "contexts": contexts(text, a)} for k, a, b in candidates(text, base)] if text else [])
+                others.append([{"kind": k, "start": a, "end": b, "value": number(text[a:b]), "sure": k == "secret" and bool(CREDENTIAL.search(text[max(0, a - CONTEXT_CHARS) : a])), "contexts": contexts(text, a)} for k, a, b in candidates(text, base)] if text else [])
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, pa.list_(span)), pa.array(others, pa.list_(seen))], names=["doc_id", "tell", "base", "seen"])
 
         return step
@@ -156,7 +185,7 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def graph(found: DataFrame) -> DataFrame:
     """pattern, instance, kind (of seeds, else null): a row per distinct pattern and instance."""
     seen = found.select(F.explode("seen").alias("s"))
-    edges = seen.select(F.explode("s.contexts").alias("pattern"), F.xxhash64("s.value").alias("instance"), F.col("s.kind").alias("kind"))
+    edges = seen.select(F.explode("s.contexts").alias("pattern"), F.col("s.value").alias("instance"), F.col("s.kind").alias("kind"))
     return edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
 
 
@@ -192,7 +221,9 @@ def find_private(df: DataFrame, rounds: int = 3, min_instances: int = 5, accept:
     Where several kinds claim one string the best score wins, then the kind listed first.
     """
     found = written(scanned(df, id_col, text_col), "found")
-    patterns = scored_patterns(written(graph(found), "graph"), rounds, min_instances, accept)
+    edges = written(graph(found), "graph")
+    patterns = scored_patterns(edges, rounds, min_instances, accept)
+    release(edges)
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     rank = F.struct(F.col("score"), -order, F.col("kind"))
     seen = found.select("doc_id", "tell", F.explode("seen").alias("s")).select("doc_id", "tell", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("seed"), F.explode("s.contexts").alias("pattern"))
