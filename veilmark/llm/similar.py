@@ -9,10 +9,12 @@ distance is taken.  The budget is that of ``similarity`` and 3.5 standard deviat
 enough is pruned with probability 2e-4.  What is left is compared exactly: a link is made only between sets that are
 similar enough.
 
-Texts with equal sets are one row.  Members of a key are first compared with its least and greatest one; then, of
-those that no chain of links connects yet, the nearest pairs by Hamming distance, which connect what can be connected;
-at last all pairs that are left within the budget.  A key with very many members is dealt out in blocks of ``BLOCK``,
-each pair of blocks a task of its own, so that none holds more than two blocks.
+Texts with equal sets are one row.  Members of a key are first compared with its least and greatest one.  Keys whose
+members aren't all connected then get their members' sets, and the pairs within the budget are compared there, the nearest
+first, unless a chain of links connects them by then; what a key gives back are links, fewer than its members.  A key
+with very many members is dealt out in blocks of ``BLOCK``, each pair of blocks a group of its own, so that no task
+holds more than two blocks.  For a family of n texts that are alike but not similar enough to be linked the work grows
+with the square of n, spread over its blocks; rows and memory don't.
 
 Defined results: null and empty texts have the empty set and link with each other; texts shorter than a shingle are
 one shingle; repeated ids give a row each; a null id comes last; an empty table gives no rows; other columns stay as
@@ -168,48 +170,60 @@ def pruned(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b"), make, "a long, b long")
 
 
+def similar_enough(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted) have at least this Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     of = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                enough = min(len(x), len(y)) >= similarity * max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if enough else 0
-                keep.append(enough and both >= similarity * (len(x) + len(y) - both))
+            keep = [similar_enough(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
-    """Of links (a, b) between n groups, those of a forest that takes the nearest first."""
-    root, out = list(range(n)), []
+def new_links(root: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> list[tuple[int, int]]:
+    """Links between members (in order of root) of different components, that connect all that links can connect."""
+    a, b, d = [], [], []
+    for i in range(len(root) - 1):
+        j = int(np.searchsorted(root, root[i], "right"))
+        if j < len(root):
+            hit, far = near(wide[j:], wide[i], most)
+            a.append(np.full(len(hit), i))
+            b.append(hit + j)
+            d.append(far)
+    if not a:
+        return []
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.argsort(np.concatenate(d), kind="stable")
+    _, group = np.unique(root, return_inverse=True)
+    up, out = list(range(int(group[-1]) + 1)), []
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
-    for i in np.argsort(distance, kind="stable").tolist():
-        x, y = find(int(a[i])), find(int(b[i]))
-        if x != y:
-            root[x] = y
-            out.append(i)
-    return np.array(out, np.int64)
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(int(group[i])), find(int(group[j]))
+        if x != y and similar_enough(sets[i], sets[j], similarity):
+            up[x] = y
+            out.append((i, j))
+    return out
 
 
-def across(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) that share a key, lie near enough, and that no chain of links connects yet.
-
-    ``nearest``: of each key's (or pair of blocks') only those of a forest over what isn't connected, so that there
-    are fewer than members; else all.
-    """
+def across(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within keys whose members aren't all connected yet (``roots``: fp, root)."""
     most = budget(similarity)
     apart = written(members.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "apart")
     split = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
@@ -217,27 +231,15 @@ def across(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
     rows = apart.join(split.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("key", "block", "fp", "root", other.alias("other")).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "root")
-    rows = rows.join(sets.select("fp", "wide"), "fp").select("key", "low", "high", "root", "fp", "wide")
+    rows = rows.join(sets, "fp").select("key", "low", "high", "root", "fp", "wide", "shingles")
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "root", "fp")
 
-    def pairs(root: np.ndarray, fp: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = []
-        for i in range(len(fp) - 1):
-            j = int(np.searchsorted(root, root[i], "right"))  # in order of root: what follows is of other groups
-            if j < len(fp):
-                hit, d = near(wide[j:], wide[i], most)
-                found.append((np.full(len(hit), i), hit + j, d))
-        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             root, fp = (np.concatenate([h.column(i).to_numpy(zero_copy_only=False) for h in held]) for i in (3, 4))
-            a, b, d = pairs(root, fp, np.concatenate([_wide(h.column(5)) for h in held]))
-            if nearest and len(a):
-                names, group = np.unique(root, return_inverse=True)
-                keep = forest(group[a], group[b], d, len(names))
-                a, b = a[keep], b[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], names=["a", "b"])
+            found = [np.frombuffer(x, np.uint64) for h in held for x in h.column(6).to_pylist()]
+            links = new_links(root, np.concatenate([_wide(h.column(5)) for h in held]), found, similarity, most)
+            return pa.RecordBatch.from_arrays([pa.array([int(fp[i]) for i, _ in links], pa.int64()), pa.array([int(fp[j]) for _, j in links], pa.int64())], names=["a", "b"])
 
         now, held = None, []
         for batch in batches:
@@ -256,14 +258,11 @@ def across(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
         if held:
             yield done(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
+    return rows.mapInArrow(run, "a long, b long")
 
-def grouped(df: DataFrame, similarity: float, words_in_shingle: int, id_col: str, text_col: str, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, tell, fp) of all rows; and (fp, root): each distinct set and its component.
 
-    ``rounds`` of nearest pairs come before all the rest; their number changes the work, not the result.
-    """
+def grouped(df: DataFrame, similarity: float, words_in_shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tell, fp) of all rows; and (fp, root): each distinct set and its component."""
     prepare(df.sparkSession)
     rows = keyed(df, id_col, text_col)
     docs = written(sketches(rows, words_in_shingle), "sketches")
@@ -274,17 +273,13 @@ def grouped(df: DataFrame, similarity: float, words_in_shingle: int, id_col: str
     each = docs.groupBy("fp").agg(F.min(F.struct("doc_id", "tell")).alias("r")).join(members.select("fp").distinct(), "fp", "left_semi")
     sets = written(sets_of(rows, each.select("r.doc_id", "r.tell"), words_in_shingle), "sets")
     ends = members.select("fp", F.explode(F.array("low", "high")).alias("end")).filter("fp <> end")
-    tried = written(ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct(), "tried")
+    tried = ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
     linked = written(checked(pruned(tried, sets, similarity), sets, similarity), "linked")
-    for i in range(rounds + 1):
-        roots = components(linked).withColumnRenamed("node", "fp")
-        fresh = written(across(members.select("key", "fp"), roots, sets, similarity, i < rounds).join(tried, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty() and i == rounds:
-            break
-        more = written(checked(fresh, sets, similarity), "more")
-        tried, linked = tried.unionByName(fresh), linked.unionByName(more)
-        if i == rounds and not more.isEmpty():
-            roots = components(linked).withColumnRenamed("node", "fp")
+    roots = components(linked).withColumnRenamed("node", "fp")
+    more = written(across(members.select("key", "fp"), roots, sets, similarity), "more")
+    if not more.isEmpty():
+        roots = components(linked.unionByName(more)).withColumnRenamed("node", "fp")
+    release(members, sets)
     distinct = docs.select("fp").distinct()
     return docs.select("doc_id", "tell", "fp"), distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
