@@ -239,3 +239,29 @@ def test_rows_only_queries(spark):
     assert set(queries.queries()) - set(oracles.oracle_sql()) == {"ner_train_eval"}
     found = {r.entity_type: r for r in queries.ner_train_eval(spark, DATA).collect()}
     assert found["PERSON"].f1 > 0.9 and found["ADDRESS"].f1 > 0.8
+
+
+@pytest.mark.parametrize("unit", ["a", "7", "-", ".", "1-", "a.", "@", "a@", "M12345678 "])
+def test_regex_spans_in_long_runs(spark, unit):
+    """A million characters of one kind, and many matches, in a few seconds: time is linear."""
+    import time
+
+    n = 1_000_000 if unit != "M12345678 " else 200_000
+    df = texts(spark, [unit * (n // len(unit)) + " x@y.zz"]).select(F.size(S.regex_spans(F.col("text"))).alias("n"))
+    began = time.time()
+    found = df.first().n
+    assert time.time() - began < 8 and found == (20_001 if unit[0] == "M" else 1)
+
+
+def test_running_totals(spark):
+    r = random.Random(7)
+    rows = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 200, 1000)]
+    df = spark.createDataFrame([(x,) for x in rows], "x array<int>").select("x", S.running(F.col("x"), lambda a, b: a + b).alias("s"), S.running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m"))
+    for row in df.collect():
+        assert row.s == [sum(row.x[:i]) for i in range(len(row.x))] and row.m == [max([0, *row.x[:i]]) for i in range(len(row.x))]
+
+
+def test_mask_names_agree(spark):
+    names = ["name_ko", "x_name_ko", "RRN_x", "x_contact", "caller_no", "my_phone", "email", "card_number", "bank", "other", "account_no", "phone_email"]
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    assert [r.m for r in df.select(masks.mask_of(F.col("c")).alias("m")).collect()] == [masks.mask_for(n) for n in names]

@@ -7,7 +7,7 @@ here is a Python function over rows; arrays hold the spans of one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,20 +37,45 @@ def span(start: Column, end: Column, entity_type: Column, value: Column, score:
     return F.struct(start.cast("int").alias("start_char"), end.cast("int").alias("end_char"), entity_type.alias("entity_type"), value.alias("pii_value"), score.cast("double").alias("score"))
 
 
-def occurrences(text: Column, regex: str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used: lambda variables are."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements of a block of running totals.
+BLOCK = 64
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of whole numbers, all those before it joined (0 before the first).
+
+    Totals of blocks come first, then what lies before each within its block.  (Spark copies an aggregation's
+    accumulator at every step, so that gathering an array in it would take quadratic time.)
+    """
+    fold = lambda part: F.aggregate(part, F.lit(0), join)
+
+    def within(x: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda i: fold(F.slice(x, i * BLOCK + 1, F.lit(BLOCK))))
+        starts = let(totals, lambda t: F.transform(t, lambda _, i: fold(F.slice(t, F.lit(1), i))))
+        return let(starts, lambda at: F.transform(x, lambda _, i: join(F.get(at, F.floor(i / BLOCK).cast("int")), fold(F.slice(x, i - i % BLOCK + 1, i % BLOCK)))))
+
+    return let(values, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(within(x)))
+
+
+def occurrences(text: Column, regex: str | Column) -> Column:
     """Matches with offsets in code points: ``array<struct<start, value>>``.
 
     The strings between matches give the offsets; regular expression positions count UTF-16 units and wouldn't do.
     """
-    values, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    pattern = F.lit(regex) if isinstance(regex, str) else regex
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value")))).alias("out"))
+    def place(values: Column) -> Column:
+        pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+        return let(pairs, lambda p: F.zip_with(p, running(F.transform(p, lambda x: x["gap"] + F.length(x["value"])), lambda a, n: a + n), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["value"].alias("value"))))
 
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, zero, add)["out"]
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return let(found, lambda v: F.when(F.size(v) == 0, F.array().cast("array<struct<start:int,value:string>>")).otherwise(place(v)))
 
 
 def candidates(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
@@ -60,11 +85,22 @@ def candidates(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
             return F.struct(m["start"].alias("start_char"), (m["start"] + F.length(m["value"])).alias("end_char"), F.lit(p.entity_type).alias("entity_type"), m["value"].alias("pii_value"), F.lit(1.0).alias("score"), F.lit(p.priority).alias("priority"))
 
         there = text.contains(p.guard) if p.guard == "@" else text.rlike(p.guard)
-        return F.when(there, F.transform(occurrences(text, p.regex), candidate)).otherwise(none(f"array<{CANDIDATE}>"))
+        return F.when(there, F.transform(occurrences(text, p.linear or p.regex), candidate)).otherwise(none(f"array<{CANDIDATE}>"))
 
     return F.concat(*(found(p) for p in patterns))
 
 
+def by_overlap(found: Column) -> Column:
+    """Candidates in order of start as ``struct<alone, x>``: ``alone`` if no other candidate overlaps it."""
+
+    def mark(x: Column) -> Column:
+        ends = running(F.transform(x, lambda c: c["end_char"]), lambda a, n: F.greatest(a, n))
+        begins = F.zip_with(x, ends, lambda c, end: c["start_char"] >= end)
+        return let(begins, lambda b: F.transform(x, lambda c, i: F.struct((F.get(b, i) & F.coalesce(F.get(b, i + 1), F.lit(True))).alias("alone"), c.alias("x"))))
+
+    return let(F.array_sort(found), mark)
+
+
 def keep_disjoint(ordered: Column, kind: str = CANDIDATE) -> Column:
     """Greedy choice in the order given: a span stays if it overlaps none that stayed before."""
     merge = lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
@@ -78,14 +114,20 @@ def by_start(spans: Column) -> Column:
 
 
 def regex_spans(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
-    """Pattern spans of a text; of overlapping ones the larger priority stays, then the longer, then the first."""
+    """Pattern spans of a text; of overlapping ones the larger priority stays, then the longer, then the first.
+
+    Candidates that overlap no other stay at once; only those that do are compared with each other.
+    """
     first = lambda a, b: F.coalesce(
         F.nullif(b["priority"] - a["priority"], F.lit(0)),
         F.nullif((b["end_char"] - b["start_char"]) - (a["end_char"] - a["start_char"]), F.lit(0)),
         a["start_char"] - b["start_char"],
     )
     found = F.coalesce(candidates(text, patterns), none(f"array<{CANDIDATE}>"))
-    return by_start(keep_disjoint(F.array_sort(found, first)))
+
+    pick = lambda marked, alone: F.transform(F.filter(marked, lambda m: m["alone"] == alone), lambda m: m["x"])
+    settle = lambda marked: F.concat(pick(marked, F.lit(True)), keep_disjoint(F.array_sort(pick(marked, F.lit(False)), first)))
+    return by_start(let(found, lambda f: F.when(F.size(f) <= 1, f).otherwise(let(by_overlap(f), settle))))
 
 
 def norm_type(name: Column) -> Column:
@@ -96,14 +138,10 @@ def norm_type(name: Column) -> Column:
 
 
 def first_free(text: Column, value: Column, taken: Column) -> Column:
-    """The 0-based place where ``value`` first occurs without touching ``taken``; null if nowhere.
-
-    Each step looks for the next occurrence, so the work follows the number of occurrences, not the text's length.
-    """
-    gaps = F.split(text, F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g)) + (i - 1) * F.length(value))
-    free = F.filter(starts, lambda s: ~F.exists(taken, lambda t: (t["start_char"] < s + F.length(value)) & (t["end_char"] > s)))
-    return F.when(F.size(gaps) > 1, F.try_element_at(free, F.lit(1)))
+    """The 0-based place where ``value`` first occurs without touching ``taken``; null if nowhere.  One pass over the text."""
+    literal = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    free = F.filter(occurrences(text, literal), lambda m: ~F.exists(taken, lambda t: (t["start_char"] < m["start"] + F.length(value)) & (t["end_char"] > m["start"])))
+    return F.try_element_at(free, F.lit(1))["start"]
 
 
 def recover_spans(text: Column, items: Column, score: float = 0.8) -> Column:
@@ -129,14 +167,14 @@ def merge_spans(kept: Column, more: Column) -> Column:
 def mask_spans(text: Column, spans: Column, tokens: dict[str, str], default: str = "[PII]") -> Column:
     """The text with each (disjoint) span replaced by its type's token."""
     names = F.create_map(*(F.lit(x) for kv in tokens.items() for x in kv))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    ordered = F.array_sort(spans)
 
-    def put(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start_char"] - acc["at"])
-        return F.struct(F.concat(acc["out"], gap, F.coalesce(F.try_element_at(names, s["entity_type"]), F.lit(default))).alias("out"), s["end_char"].alias("at"))
+    def part(s: Column, i: Column) -> Column:
+        at = F.coalesce(F.get(ordered, i - 1)["end_char"], F.lit(0))
+        return F.concat(F.substring(text, at + 1, s["start_char"] - at), F.coalesce(F.try_element_at(names, s["entity_type"]), F.lit(default)))
 
-    done = F.aggregate(F.array_sort(spans), zero, put)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    last = F.coalesce(F.try_element_at(ordered, F.lit(-1))["end_char"], F.lit(0))
+    return F.concat(F.array_join(F.transform(ordered, part), ""), F.substring(text, last + 1, F.length(text)))
 
 
 def context(text: Column, start: Column, end: Column, width: int = 40) -> Column:

@@ -9,27 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masks import apply_mask, mask_for, risk
+from ..functions.masks import apply_mask, mask_for, mask_of, risk
 from ..functions.patterns import MASK_TOKENS
 from ..functions.spans import mask_spans
 
+#: Columns of free text, which are masked by span.
 FREE_TEXT = ("memo", "consult_note", "complaint_body", "review_text")
 
 
-def mask_name(column: Column) -> Column:
-    """``mask_for`` as an expression."""
-    c = F.lower(column)
-    return (
-        F.when(c == "name_ko", "mask_name").when(c.contains("rrn"), "mask_rrn")
-        .when(c.isin("x_contact", "caller_no", "callee_no") | c.contains("phone"), "mask_phone").when(c.contains("email"), "mask_email")
-        .when(c.contains("card_number"), "mask_card").when(c.contains("account") | c.contains("bank"), "mask_account").otherwise("mask_default")
-    )
-
-
 def policies(verdicts: DataFrame, free_text: tuple[str, ...] = FREE_TEXT) -> DataFrame:
     """The registry that verdicts (table_name, column_name, pred_is_pii, pred_category) call for; free text is masked by span."""
     hit = verdicts.filter(F.col("pred_is_pii") & ~F.col("column_name").isin(*free_text))
-    return hit.select("table_name", "column_name", F.col("pred_category").alias("category"), risk(F.col("pred_category")).alias("risk"), mask_name(F.col("column_name")).alias("mask"))
+    return hit.select("table_name", "column_name", F.col("pred_category").alias("category"), risk(F.col("pred_category")).alias("risk"), mask_of(F.col("column_name")).alias("mask"))
 
 
 def unapplied(registry: DataFrame, table: str | None = None) -> DataFrame:
