@@ -236,7 +236,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_rows_only_queries(spark):
-    assert set(queries.queries()) - set(oracles.oracle_sql()) == {"ner_train_eval"}
+    assert set(queries.queries()) - set(oracles.oracle_sql()) == {"ner_train_eval", "ner_champion"}
     found = {r.entity_type: r for r in queries.ner_train_eval(spark, DATA).collect()}
     assert found["PERSON"].f1 > 0.9 and found["ADDRESS"].f1 > 0.8
 
@@ -265,3 +265,94 @@ def test_mask_names_agree(spark):
     names = ["name_ko", "x_name_ko", "RRN_x", "x_contact", "caller_no", "my_phone", "email", "card_number", "bank", "other", "account_no", "phone_email"]
     df = spark.createDataFrame([(n,) for n in names], "c string")
     assert [r.m for r in df.select(masks.mask_of(F.col("c")).alias("m")).collect()] == [masks.mask_for(n) for n in names]
+
+
+def test_champion_and_challenger(spark):
+    rows = queries.ner_champion(spark, DATA).collect()
+    assert {r.check: r.result for r in rows} == {"B1": "PASS", "B2": "PASS", "B3": "PASS", "B4": "PASS"}
+    r = rows[0]
+    assert r.decision == "PROMOTE" and r.approved and r.chal_stress > r.champ_stress + 0.01 and r.main_ok and r.canary_ok
+    same = {"stress": 0.5, "main": 0.9, "canary": 0.9}
+    kept = evaluate.decision(same, same | {"stress": 0.9}, False, "old", "new")
+    assert kept[1] == "PROMOTE" and kept[-2:] == (False, "old") and evaluate.decision(same, same | {"stress": 0.9}, True, "old", "new")[-2:] == (True, "new")
+
+
+class Flaky:
+    """Fails on every first try of a prompt that says so, and always on one that says that."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def answer(self, prompts):
+        import os
+
+        out = []
+        for p in prompts:
+            path = f"{self.folder}/{p}"
+            seen = os.path.exists(path)
+            open(path, "w").close()
+            out.append(None if p.startswith("never") or (p.startswith("later") and not seen) else '{"keep": true}')
+        return out
+
+
+def test_failed_answers_are_asked_once_more(spark, tmp_path):
+    df = spark.createDataFrame([(f"{'later' if i % 3 == 0 else 'now'}{i}",) for i in range(39)] + [("never",)], "prompt string")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    done = providers.complete_or_fail(df, "prompt", Flaky(str(tmp_path / "a")), 0.05, retries=0)
+    assert done.count() == 40 and done.filter("llm_raw_ok").count() == 39
+    with pytest.raises(ValueError):
+        providers.complete_or_fail(df, "prompt", Flaky(str(tmp_path / "b")), 0.01, retries=0)
+    bad = providers.RuleProvider(lambda p: "nothing to read")
+    with pytest.raises(ValueError):
+        providers.complete_or_fail(df, "prompt", bad, 0.05, readable=lambda c: c.contains("{"), retries=0)
+    assert providers.health(bad) == "PASS" and providers.health(providers.RuleProvider(lambda p: None)) == "WARN: no answer"
+
+
+def test_recorded_answers(spark, tmp_path):
+    """A CSV of answers with JSON in quotes feeds the column verdicts in place of a model."""
+    said = '{"is_pii": true, "category": "PERSONAL_INFO", "confidence": 0.9, "reason": "a, \\"b\\""}'
+    rows = spark.createDataFrame([("m1", "t", "email", said), ("m2", "t", "email", "other"), ("m1", "t", "note", "line\nbreak [")], "backend string, table_name string, column_name string, llm_raw string")
+    tables.write_csv(rows, str(tmp_path / "raw"))
+    asked = spark.createDataFrame([("t", "email"), ("t", "note"), ("t", "gone")], "table_name string, column_name string")
+    got = {r.column_name: r for r in providers.replay(asked, providers.recorded(spark, str(tmp_path / "raw"), "m1"), ["table_name", "column_name"]).select("*", answers.verdict(F.col("llm_raw")).alias("v")).collect()}
+    assert got["email"].llm_raw == said and got["email"].v.is_pii and got["email"].v.confidence == 0.9
+    assert got["note"].llm_raw == "line\nbreak [" and got["note"].v is None and not got["gone"].llm_raw_ok
+
+
+def test_latency_and_percentiles(spark):
+    took = evaluate.measure_latency(lambda prompts: [None] * len(prompts), ["a", "b"])
+    assert 0 <= took["p50_ms"] <= took["p95_ms"] and took["docs_per_s"] > 0
+    r = random.Random(3)
+    rows = [(g, r.randint(0, 5)) for g, n in (("a", 1), ("b", 2), ("c", 40), ("d", 7)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("c", None)], "g string, v int")
+    want = {g: tuple(df.filter(f"g = '{g}' and v is not null").groupBy().agg(F.collect_list("v").alias("x")).select(evaluate.percentile_index(F.col("x")).alias("p")).first().p) for g in "abcd"}
+    assert {x.g: (x.p50, x.p95) for x in evaluate.percentiles(df, "g", "v").collect()} == want
+
+
+def test_append_with_other_columns_and_isolation(spark):
+    w = tables.Workspace(spark, "veil_merge")
+    w.merge_append("t", spark.createDataFrame([("notes.1", 1)], "doc_id string, x int"))
+    w.merge_append("t", spark.createDataFrame([("drift.1", "new")], "doc_id string, y string"))
+    assert sorted(tuple(r) for r in w.table("t").select("doc_id", F.coalesce("x", F.lit(-1)), F.coalesce("y", F.lit("-"))).collect()) == [("drift.1", -1, "new"), ("notes.1", 1, "-")]
+    assert w.leaked_rows("t", ("drift.", "newname.")) == 1 and w.leaked_rows("t", ("newname.",)) == 0
+    spark.sql("DROP DATABASE veil_merge CASCADE")
+
+
+def test_too_many_shapes_are_refused(spark):
+    clusters = spark.createDataFrame([("CARD", f"D{i}", 2) for i in range(5)], "entity_type string, shape string, support long")
+    assert len(monitor.proposals(clusters, most=5)) == 5
+    with pytest.raises(ValueError):
+        monitor.proposals(clusters, most=4)
+
+
+def test_span_prompts(spark):
+    row = texts(spark, ["x"]).select(providers.span_prompt(F.col("text")).alias("a"), providers.span_prompt(F.col("text"), audit=True).alias("b"), columns.column_prompt(F.lit("t"), F.lit("c"), F.lit("1 | 2")).alias("c")).first()
+    assert row.a.endswith("\n\nx") and "PASSPORT" in row.a and row.b != row.a and row.c.endswith("samples: 1 | 2")
+
+
+def test_generated_cards_pass_luhn(spark):
+    from veilmark.plans import synth
+
+    rows = spark.range(3000).select(F.expr(synth.value_sql("id")["CARD"]).alias("card")).select("card", S.luhn(F.col("card")).alias("ok")).collect()
+    assert all(r.ok and re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", r.card) for r in rows) and len({r.card for r in rows}) > 2500

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.answers import keep
 from ..functions.spans import SPANS, context, merge_spans, none, once, regex_spans
+from .providers import LlmProvider, complete_or_fail
 
 TAU = 0.70
 ENTITY = "array<struct<start_char:int,end_char:int,entity_type:string,score:double>>"
@@ -34,6 +36,15 @@ def prompts(entities: DataFrame, docs: DataFrame, tau: float = TAU, width: int =
     return rows.select("k", ask.alias("prompt"))
 
 
+def confirm(entities: DataFrame, docs: DataFrame, provider: LlmProvider, tau: float = TAU, limit: float = 0.05, **options) -> DataFrame:
+    """k, keep: a model's decisions on the spans below the threshold; only those are sent.
+
+    Unanswered spans are dropped; more than a share ``limit`` of them fails the step before anything is published.
+    """
+    asked = complete_or_fail(prompts(entities, docs, tau), "prompt", provider, limit, **options)
+    return asked.select("k", keep(F.col("llm_raw")).alias("keep"))
+
+
 def finalize(docs: DataFrame, entities: DataFrame, decisions: DataFrame, tau: float = TAU) -> DataFrame:
     """doc_id, spans: pattern spans, then entity spans that are sure or kept (k, keep), where they are disjoint.
 

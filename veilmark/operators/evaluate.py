@@ -8,7 +8,11 @@ document, and no document's spans are collected anywhere but in its own row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import once
@@ -71,8 +75,13 @@ def document_counts(predictions: DataFrame, coverage: DataFrame, gold: DataFrame
     recorded = coverage.select(*CELL, "doc_id").distinct()
     silent = predictions.select(*CELL, "doc_id").distinct().join(recorded.select(*CELL).distinct(), CELL, "left_anti")
     covered = recorded.unionByName(silent)
-    kind = "array<struct<s:int,e:int,t:string>>"
     rows = covered.join(_per_document(predictions, CELL, "p"), [*CELL, "doc_id"], "left").join(_per_document(gold, [], "g"), "doc_id", "left")
+    return row_counts(rows, theta)
+
+
+def row_counts(rows: DataFrame, theta: float = 0.5) -> DataFrame:
+    """``document_counts`` of rows that hold their spans themselves: stage, backend, doc_id, p and g, arrays of (s, e, t) in order."""
+    kind = "array<struct<s:int,e:int,t:string>>"
     rows = once(rows.select(*CELL, "doc_id", *(F.coalesce(c, F.array()).cast(kind).alias(c) for c in ("p", "g"))))
     rows = once(rows.select("*", _merged(F.col("p")).alias("mp"), _merged(F.col("g")).alias("mg")))
     p, g = F.col("p"), F.col("g")
@@ -90,7 +99,11 @@ def f1_columns() -> list[Column]:
 
 def evaluate_spans(predictions: DataFrame, coverage: DataFrame, gold: DataFrame, theta: float = 0.5) -> DataFrame:
     """stage, backend, regime, tp, fp, fn, precision, recall, f1, n_docs, n_gt."""
-    counts = document_counts(predictions, coverage, gold, theta)
+    return totals(document_counts(predictions, coverage, gold, theta))
+
+
+def totals(counts: DataFrame) -> DataFrame:
+    """The sums and scores of documents' counts, by cell and regime."""
     regimes = ["exact", "type_agnostic", "partial", "char"]
     each = counts.select(*CELL, "n_gt", F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), F.col(r).alias("n")) for r in regimes))).alias("x"))
     total = each.groupBy(*CELL, F.col("x.regime").alias("regime")).agg(*(F.sum(f"x.n.{c}").alias(c) for c in ("tp", "fp", "fn")), F.count("*").alias("n_docs"), F.sum("n_gt").alias("n_gt"))
@@ -138,6 +151,17 @@ def gate(champion: dict[str, float], challenger: dict[str, float], delta: float
     return "PROMOTE" if round(gain["stress"], 4) >= delta and gain["main"] >= main_floor and gain["canary"] >= canary_floor else "KEEP"
 
 
+DECISION = "ts timestamp, decision string, champ_stress double, chal_stress double, delta_stress double, main_ok boolean, canary_ok boolean, approved boolean, active_model string"
+
+
+def decision(champion: dict[str, float], challenger: dict[str, float], approve: bool, champion_model: str, challenger_model: str) -> tuple:
+    """A row of the decision log: the challenger becomes active if it passes the gate and a person approved."""
+    passed = gate(champion, challenger)
+    yes = passed == "PROMOTE" and approve
+    gain = {k: challenger[k] - champion[k] for k in champion}
+    return datetime.now(), passed, champion["stress"], challenger["stress"], round(gain["stress"], 4), gain["main"] >= -0.005, gain["canary"] >= -0.01, yes, challenger_model if yes else champion_model
+
+
 def gate_column(d_stress: Column, d_main: Column, d_canary: Column, delta: float = 0.01, main_floor: float = -0.005, canary_floor: float = -0.01) -> Column:
     return F.when((d_stress >= delta) & (d_main >= main_floor) & (d_canary >= canary_floor), "PROMOTE").otherwise("KEEP")
 
@@ -148,6 +172,34 @@ def stage_cost(stage: Column, route_rate: Column, tokens_per_doc: float = 220, u
     return route_rate * full + F.when(stage.isin("S3", "S4"), ner_usd_per_1k).otherwise(0.0)
 
 
+def percentiles(values: DataFrame, group: str, value: str) -> DataFrame:
+    """group, p50, p95 by index, as ``percentile_index`` has them, of any number of values.
+
+    Values are counted before anything is sorted, and sorted by Spark, which spills; no group is held in memory.
+    """
+    counts = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(group).orderBy(value)
+    placed = counts.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy(group))})
+    last = F.least(F.col("all"), F.greatest(F.lit(1), F.rint(F.col("all") * 0.95).cast("long"))) - 1
+    holds = lambda at: (F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))
+    return placed.groupBy(group).agg(F.max(F.when(holds(F.floor(F.col("all") / 2)), F.col(value))).alias("p50"), F.max(F.when(holds(last), F.col(value))).alias("p95"))
+
+
+def measure_latency(answer: Callable[[list[str]], list], prompts: list[str], serial: int = 10, batch: int = 80) -> dict[str, float]:
+    """p50_ms, p95_ms of single calls after one that warms up, and docs_per_s of one batch: what a model costs in time."""
+    answer(prompts[:1])
+    took = []
+    for i in range(serial):
+        began = time.perf_counter()
+        answer([prompts[i % len(prompts)]])
+        took.append((time.perf_counter() - began) * 1000)
+    took.sort()
+    many = [prompts[i % len(prompts)] for i in range(batch)]
+    began = time.perf_counter()
+    answer(many)
+    return {"p50_ms": took[len(took) // 2], "p95_ms": took[min(len(took), max(1, round(len(took) * 0.95))) - 1], "docs_per_s": batch / (time.perf_counter() - began)}
+
+
 def percentile_index(latencies: Column) -> Column:
     """``struct<p50, p95>`` of an array, by index in sorted order rather than by interpolation."""
     ordered, n = F.array_sort(latencies), F.size(latencies)

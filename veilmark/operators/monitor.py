@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import unreadable
+from ..functions.answers import span_items, unreadable
 from ..functions.patterns import PATTERNS, STRUCTURED, Pattern
 from ..functions.spans import candidates, occurrences, overlap, regex_spans, shape
 
@@ -22,12 +22,18 @@ def silent_rate(docs: DataFrame, rule: DataFrame, model: DataFrame) -> DataFrame
 
 
 def parse_fail_rate(answers: DataFrame, column: str = "llm_raw") -> DataFrame:
-    """n_answers and n_failed by backend."""
-    return answers.groupBy("backend").agg(F.count("*").alias("n_answers"), F.count_if(unreadable(F.col(column))).alias("n_failed"))
+    """n_answers and n_failed by backend: answers in which no list of spans can be read."""
+    read = answers.select("backend", span_items(F.col(column))["ok"].alias("ok"))
+    return read.groupBy("backend").agg(F.count("*").alias("n_answers"), F.count_if(~F.col("ok")).alias("n_failed"))
+
+
+def no_json(answers: DataFrame, column: str = "llm_raw") -> DataFrame:
+    """n_failed: answers without any bracket."""
+    return answers.agg(F.count_if(unreadable(F.col(column))).alias("n_failed"))
 
 
 def breach(now: Column, base: Column) -> Column:
-    """CRIT, WARN or OK, by how far a rate has risen over its base."""
+    """CRIT, WARN or OK, by how far a rate has risen over its base."""
     return F.when(now > F.greatest(base * 3, F.lit(0.2)), "CRIT").when(now > F.greatest(base * 2, F.lit(0.1)), "WARN").otherwise("OK")
 
 
@@ -64,9 +70,12 @@ def shape_regex(code: str) -> str:
     return rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])"
 
 
-def proposals(clusters: DataFrame) -> list[Pattern]:
-    """A candidate rule for each cluster, the largest first.  Clusters are few: one for each format."""
-    rows = clusters.orderBy(F.desc("support"), "entity_type", "shape").collect()
+def proposals(clusters: DataFrame, most: int = 500) -> list[Pattern]:
+    """A candidate rule for each cluster, the largest first.  More than ``most`` formats at once are refused: what leaked
+    then isn't a new format, and every candidate is matched against all texts."""
+    rows = clusters.orderBy(F.desc("support"), "entity_type", "shape").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} shapes of leaked values: raise the support that a cluster needs")
     return [Pattern(r.entity_type, shape_regex(r.shape), PRIORITY.get(r.entity_type, 5), ".") for r in rows]
 
 
@@ -97,6 +106,20 @@ def promoted(shadowed: DataFrame, approve: bool = False, degraded: bool = False)
     return shadowed.withColumn("promoted", F.col("shadow_pass") & F.lit(approve and not degraded))
 
 
+def passing(candidates_: list[Pattern], shadowed: DataFrame) -> list[Pattern]:
+    """The candidates that are promoted (their number is bounded by ``proposals``)."""
+    yes = {(r.entity_type, r.regex) for r in shadowed.filter("promoted").select("entity_type", "regex").collect()}
+    return [p for p in candidates_ if (p.entity_type, p.regex) in yes]
+
+
+def honesty(drift: DataFrame, gold: DataFrame) -> DataFrame:
+    """n_checked, n_missed: structured spans of the new formats, and those that no pattern span touches."""
+    found = drift.select("doc_id", regex_spans(F.col("text")).alias("spans"))
+    here = F.struct("start_char", "end_char")
+    rows = gold.filter(F.col("entity_type").isin(*STRUCTURED)).select("doc_id", "start_char", "end_char").distinct().join(found, "doc_id")
+    return rows.agg(F.count("*").alias("n_checked"), F.count_if(~F.exists("spans", lambda s: overlap(s, here))).alias("n_missed"))
+
+
 def augmented_spans(text: Column, more: list[Pattern]) -> Column:
     return regex_spans(text, [*PATTERNS, *more])
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import shape
-from .evaluate import f1_columns
+from .evaluate import f1_columns, overlap_recall
 
 TOKEN = r"[0-9]+|[A-Za-z]+|[가-힣]+|[^0-9A-Za-z가-힣\s]"
 FEATURES = ["w", "first", "last", "form", "size", "prev", "next", "prev2", "next2"]
@@ -84,3 +84,22 @@ def entity_scores(found: DataFrame, docs: DataFrame) -> DataFrame:
     both = found.select("doc_id", "start_char", "end_char", "entity_type").distinct().withColumn("p", F.lit(1)).join(gold, ["doc_id", "start_char", "end_char", "entity_type"], "full")
     n = both.groupBy("entity_type").agg(F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
     return n.select("entity_type", "tp", "fp", "fn", *f1_columns(), (F.col("tp") + F.col("fn")).alias("support"))
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """The model, written and read again: what is compared is what would be used."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def train_union(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old and new training documents with gold of names and places alone."""
+    kept = lambda df: df.select("doc_id", "text", F.filter("gold", lambda g: g["entity_type"].isin("PERSON", "ADDRESS")).alias("gold"))
+    return kept(old).unionByName(kept(new))
+
+
+def person_recall(model: PipelineModel, docs: DataFrame) -> float:
+    """The share of gold names that a name found touches; 0 without gold."""
+    gold = docs.select("doc_id", F.explode("gold").alias("g")).select("doc_id", "g.*").filter("entity_type = 'PERSON'")
+    n = overlap_recall(tag(model, docs).filter("entity_type = 'PERSON'"), gold).first()
+    return n.n_hit / n.n_gold if n.n_gold else 0.0

@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_csv
+from .governance import fail_closed
+
 
 class LlmProvider(Protocol):
     """Must be picklable; ``answer`` is called on executors."""
@@ -85,6 +88,45 @@ def complete(df: DataFrame, prompt: str, provider: LlmProvider, out: str = "llm_
     return df.mapInPandas(run, f"{fields}, `{out}` string, `{out}_ok` boolean")
 
 
+def complete_or_fail(df: DataFrame, prompt: str, provider: LlmProvider, limit: float = 0.05, out: str = "llm_raw", readable: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """``df`` with a provider's answers, those that failed asked once more; raises if over ``limit`` of them still fail.
+
+    ``readable`` says whether an answer counts; without it any answer does.  Answers are gathered once (``df`` is
+    persisted until they are), so that nobody is asked again when the result is used.
+    """
+    first = complete(df, prompt, provider, out, **options)
+    good = F.col(f"{out}_ok") & (F.coalesce(readable(F.col(out)), F.lit(False)) if readable else F.lit(True))
+    first = first.withColumn(f"{out}_ok", good).persist()
+    again = complete(first.filter(~F.col(f"{out}_ok")).select(*df.columns), prompt, provider, out, **options).withColumn(f"{out}_ok", good)
+    both = first.filter(f"{out}_ok").unionByName(again).persist()
+    return fail_closed(both, ~F.col(f"{out}_ok"), limit, "answers that failed twice")
+
+
+def health(provider: LlmProvider) -> str:
+    """PASS if the provider answers at all, else what went wrong."""
+    try:
+        return "PASS" if provider.answer(["ping"])[0] is not None else "WARN: no answer"
+    except Exception as e:  # the report is the point, whatever is wrong
+        return f"WARN: {type(e).__name__}"
+
+
+def recorded(spark: SparkSession, path: str, backend: str | None = None) -> DataFrame:
+    """Recorded answers from a CSV file with a header (backend, keys, llm_raw); JSON in them has doubled quotes."""
+    rows = read_csv(spark, path)
+    return rows if backend is None else rows.filter(F.col("backend") == backend)
+
+
 def replay(df: DataFrame, recorded: DataFrame, keys: list[str], out: str = "llm_raw") -> DataFrame:
     """``df`` with recorded answers instead of a model's."""
     return df.join(recorded.select(*keys, out), keys, "left").withColumn(f"{out}_ok", F.col(out).isNotNull())
+
+
+#: What span and audit prompts ask for: the types and how answers are to look.
+SPAN_TYPES = "PERSON, PHONE, RRN, CARD, ACCOUNT, EMAIL, ADDRESS, IMEI, PASSPORT"
+SPAN_HEAD = f'List all personal data in the text below as a JSON array of {{"value": string, "type": string}}, values copied exactly, types out of {SPAN_TYPES}. Answer [] if there is none, and with nothing but the array.\n\n'
+AUDIT_HEAD = f'You audit for personal data: miss nothing, doubtful strings included (landlines, numbers without hyphens, new passport formats). Answer with nothing but a JSON array of {{"value": string, "type": string}}, values copied exactly, types out of {SPAN_TYPES}; [] if there is none.\n\n'
+
+
+def span_prompt(text: Column, audit: bool = False) -> Column:
+    """The prompt that asks for the spans of a text; ``audit``: one that would rather report too much."""
+    return F.concat(F.lit(AUDIT_HEAD if audit else SPAN_HEAD), text)

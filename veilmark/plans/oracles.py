@@ -140,12 +140,23 @@ MASKS = {
     "mask_default": ("address", lambda v: f"{v}[1:1] || '***'"),
 }
 _view = {"phone": "mask_phone", "rrn": "mask_rrn", "email": "mask_email", "name_ko": "mask_name", "card_number": "mask_card", "bank_account": "mask_account"}
-AUDIT = "audit AS (SELECT doc_id, k, start_char, end_char, entity_type, pii_value FROM drift_gold WHERE length(doc_id) % 2 = 0 OR start_char % 5 <> 0)"
+AUDIT = "audit AS (SELECT doc_id, k, start_char, end_char, entity_type, pii_value FROM drift_gold WHERE length(doc_id) % 2 = 0 OR start_char % 5 <> 0\n  UNION ALL SELECT doc_id, k, (length(text) - 2)::INT, length(text)::INT, 'ACCOUNT', right(text, 2) FROM drift WHERE k % 12 = 3)"
+def _shape(v: str) -> str:
+    return f"""array_to_string(list_transform(regexp_extract_all({v}, '[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+'), lambda r:
+    CASE WHEN r[1] BETWEEN '0' AND '9' THEN 'D' || length(r) WHEN r[1] BETWEEN 'A' AND 'Z' THEN 'L' || length(r) WHEN r[1] BETWEEN 'a' AND 'z' THEN 'l' || length(r) ELSE r END), '')"""
+
+
 LEAKS = with_(MAIN, DRIFT, spans("ruled", "drift"), AUDIT) + """,
 leaks AS (SELECT doc_id, start_char, end_char, entity_type, pii_value FROM audit a WHERE entity_type NOT IN ('PERSON', 'ADDRESS') AND NOT EXISTS (SELECT 1 FROM ruled r WHERE r.doc_id = a.doc_id AND r.start_char = a.start_char AND r.end_char = a.end_char)),
-shaped AS (SELECT *, array_to_string(list_transform(regexp_extract_all(pii_value, '[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+'), lambda r:
-    CASE WHEN r[1] BETWEEN '0' AND '9' THEN 'D' || length(r) WHEN r[1] BETWEEN 'A' AND 'Z' THEN 'L' || length(r) WHEN r[1] BETWEEN 'a' AND 'z' THEN 'l' || length(r) ELSE r END), '') AS shape FROM leaks),
+shaped AS (SELECT *, """ + _shape("pii_value") + """ AS shape FROM leaks),
 clusters AS (SELECT entity_type, shape, count(*) AS support FROM shaped GROUP BY ALL HAVING count(*) > 1)"""
+#: Matches in clean texts that aren't gold: whole words of a cluster's shape, or a cluster's literal wherever it stands.
+SHADOW = """words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*')) AS v FROM docs),
+clean AS (SELECT """ + _shape("v") + """ AS shape, count(*) AS n FROM words w WHERE NOT EXISTS (SELECT 1 FROM docs_gold g WHERE g.doc_id = w.doc_id AND g.pii_value = w.v) GROUP BY 1),
+shadowed AS (SELECT entity_type, c.shape, support, CASE WHEN regexp_matches(c.shape, '[0-9A-Za-z]') THEN coalesce(clean.n, 0)
+    ELSE (SELECT sum((length(text) - length(replace(text, c.shape, ''))) // length(c.shape)) FROM docs) END::BIGINT AS clean_fp FROM clusters c LEFT JOIN clean ON clean.shape = c.shape),
+after AS (SELECT count(*) AS n_gold, count(*) FILTER (is_found) AS n_before, count(*) FILTER (is_found OR shape IN (SELECT shape FROM shadowed WHERE clean_fp = 0)) AS n_after
+  FROM (SELECT g.*, """ + _shape("g.pii_value") + """ AS shape, EXISTS (SELECT 1 FROM ruled r WHERE r.doc_id = g.doc_id AND r.start_char = g.start_char AND r.end_char = g.end_char) AS is_found FROM drift_gold g WHERE source_layer = 'PATTERN'))"""
 RATES = with_(MAIN, DRIFT, spans("ruled", "docs"), spans("ruled_drift", "drift")) + """,
 rates AS (SELECT 'drift' AS corpus, count(*) AS n_docs, count(*) FILTER (doc_id IN (SELECT doc_id FROM drift_gold) AND doc_id NOT IN (SELECT doc_id FROM ruled_drift)) AS n_silent FROM drift
   UNION ALL SELECT 'main', count(*), count(*) FILTER (doc_id IN (SELECT doc_id FROM docs_gold) AND doc_id NOT IN (SELECT doc_id FROM ruled)) FROM docs)"""
@@ -156,6 +167,15 @@ _whole = [("documents", "doc_id", "doc_id"), ("conversations", "concat(conv_id,
 _costs = "costs AS (SELECT CASE m WHEN 'base' THEN 'S3' ELSE 'S4' END AS stage, count(*) FILTER (points + plus < 20) / count(*) AS r FROM named, (VALUES ('base', 0), ('ft', 25)) v(m, plus) GROUP BY m UNION ALL VALUES ('S1', 0.0), ('S2', 1.0), ('S5', 1.0))"
 
 
+#: Scores from counts, and one row per cell.
+MARKS = """marks AS (SELECT stage, backend, regime, tp, fp, fn, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)::DOUBLE AS f1, n_docs, n_gt FROM (
+  SELECT stage, backend, regime, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall, n_docs, n_gt FROM counts))"""
+GRID = """picked_marks AS (SELECT stage, backend, max(precision) FILTER (regime = 'exact') AS span_exact_prec, max(recall) FILTER (regime = 'exact') AS span_exact_recall, max(f1) FILTER (regime = 'exact') AS span_exact_f1,
+    max(f1) FILTER (regime = 'partial') AS span_partial_f1, max(f1) FILTER (regime = 'type_agnostic') AS span_detect_f1, max(recall) FILTER (regime = 'char') AS span_char_recall, max(n_docs) AS span_n_docs FROM marks GROUP BY ALL),
+celled AS (SELECT stage, CASE stage WHEN 'S1' THEN 'NA' ELSE 'sim' END AS backend, r::DOUBLE AS r FROM costs),
+grid AS (SELECT stage, backend FROM marks UNION SELECT stage, backend FROM scores UNION SELECT stage, backend FROM celled)"""
+
+
 def oracle_sql() -> dict[str, str]:
     doc_spans = lambda table, key, text: with_(f"src AS (SELECT {key} AS doc_id, {text} AS text FROM {table})", spans("ruled", "src"))
     gold = with_(MAIN)
@@ -163,6 +183,7 @@ def oracle_sql() -> dict[str, str]:
     recovered = with_(MAIN, spans("ruled", "docs"), RECOVERED, MERGED)
     entity = with_(MAIN, ENTITIES)
     stages = STAGES + ",\n" + regimes("said", "covered", "docs_gold")
+    everything = stages + ",\n" + ",\n".join([MARKS, PEOPLE, SAMPLES, RULES, TRUTH, ANSWERS.replace("said AS (", "answered AS (", 1).replace("FROM said)", "FROM answered)"), VERDICTS, COL_EVAL, _costs, masked("bare", "docs", "docs_gold"), GRID])
     moved = with_(MAIN) + """,
 moved AS (SELECT 'SX' AS stage, 'NA' AS backend, doc_id, (start_char + length(doc_id) % 4)::INT AS start_char, (end_char + length(doc_id) % 4)::INT AS end_char, entity_type FROM docs_gold),
 seen AS (SELECT DISTINCT stage, backend, doc_id FROM moved),\n""" + regimes("moved", "seen", "docs_gold")
@@ -194,18 +215,43 @@ seen AS (SELECT DISTINCT stage, backend, doc_id FROM moved),\n""" + regimes("mov
         "synth_offset_integrity": gold + "\nSELECT count(*) AS n_spans, count(*) FILTER (substring(text, start_char + 1, end_char - start_char) <> pii_value) AS n_wrong FROM docs_gold JOIN docs USING (doc_id)",
         "luhn_card_check": f"SELECT p_partkey, number, {luhn} AS valid FROM (SELECT p_partkey, {number} AS number FROM part)",
         "llm_response_parse": gold + "\nSELECT d.doc_id, d.k % 9 <> 0 OR n = 0 AS ok, (CASE d.k % 9 WHEN 0 THEN 0 WHEN 3 THEN n + 1 WHEN 4 THEN greatest(n - 1, 0) ELSE n END)::BIGINT AS n_items FROM docs d JOIN (SELECT docs.doc_id, count(g.doc_id) AS n FROM docs LEFT JOIN docs_gold g ON g.doc_id = docs.doc_id GROUP BY 1) c USING (doc_id)",
-        "llm_parse_fail_rate": with_(KEYS) + "\nSELECT 'sim' AS backend, count(*) AS n_answers, 0::BIGINT AS n_failed FROM keys",
+        "llm_parse_fail_rate": gold + "\nSELECT 'sim' AS backend, count(*) AS n_answers, count(*) FILTER (k % 9 = 0 AND doc_id IN (SELECT doc_id FROM docs_gold)) AS n_failed FROM docs",
         "llm_recover_spans": recovered + f"\nSELECT {SPAN} FROM recovered",
         "merge_regex_llm": recovered + f"\nSELECT {SPAN} FROM merged",
         "ner_route_rate": entity + "\nSELECT m AS model, count(*) AS n_spans, count(*) FILTER (points + plus < 20) AS n_routed FROM named, (VALUES ('base', 0), ('ft', 25)) v(m, plus) GROUP BY m",
         "cascade_lowconf": entity + "\nSELECT key AS k, doc_id, start_char, end_char, entity_type FROM low WHERE points < 20",
         "cascade_prompts": entity + "\nSELECT key AS k, 'Is \"' || pii_value || '\" (' || entity_type || ') personal data here: ...' || substring(text, greatest(start_char - 40, 0) + 1, end_char + 40 - greatest(start_char - 40, 0)) || '... Answer with JSON only: {\"keep\": true or false}' AS prompt FROM low JOIN docs USING (doc_id) WHERE points < 20",
         "cascade_finalize": with_(MAIN, spans("ruled", "docs"), ENTITIES, FINAL) + f"\nSELECT {SPAN} FROM final",
-        "span_eval": stages + "\nSELECT stage, backend, regime, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, n_docs, n_gt FROM counts",
+        "span_eval": stages + f",\n{MARKS}\nSELECT * FROM marks",
+        "span_identities": stages + f",\n{MARKS}" + """\nSELECT stage, backend, regime, regime = 'char' OR tp + fn = n_gt AS gold_ok, regime <> 'exact' OR tp + fp = (SELECT count(*) FROM cell_said c WHERE c.stage = m.stage AND c.backend = m.backend) AS said_ok,
+  abs(f1 - coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) <= 1e-3 AS scores_ok FROM marks m""",
+        "regex_vs_gold": ruled + """\nSELECT count(*) FILTER (is_gold) AS n_gold, count(*) FILTER (is_gold AND is_found) AS n_matched, count(*) FILTER (NOT is_gold) AS n_spurious FROM (
+  SELECT max(g) = 1 AS is_gold, max(p) = 1 AS is_found FROM (SELECT doc_id, start_char, end_char, entity_type, 1 AS g, 0 AS p FROM docs_gold WHERE source_layer = 'PATTERN' UNION ALL SELECT doc_id, start_char, end_char, entity_type, 0, 1 FROM ruled) GROUP BY doc_id, start_char, end_char, entity_type)""",
+        "drift_honesty": with_(MAIN, DRIFT, spans("ruled", "drift")) + "\nSELECT count(*) AS n_checked, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ruled r WHERE r.doc_id = g.doc_id AND r.start_char < g.end_char AND r.end_char > g.start_char)) AS n_missed FROM drift_gold g WHERE source_layer = 'PATTERN'",
+        "col_scores_again": COLUMNS + ",\n" + COL_EVAL + "\nSELECT count(*) AS n_cells, 0::BIGINT AS n_wrong FROM scores",
+        "cascade_confirm": entity + "\nSELECT key AS k, length(pii_value) % 2 = 0 AS keep FROM low WHERE points < 20",
+        "verification_report": everything + """
+SELECT * FROM (SELECT 'C1a' AS "check", (SELECT count(*) = 0 FROM docs_gold JOIN docs USING (doc_id) WHERE substring(text, start_char + 1, end_char - start_char) <> pii_value) AS ok
+  UNION ALL SELECT 'C1b', (SELECT count(*) = 0 FROM truth WHERE category NOT IN ('PERSONAL_INFO', 'PAYMENT_INFO', 'IDENTIFICATION', 'EMPLOYMENT_INFO', 'NON_PII', 'FREE_TEXT_PII'))
+  UNION ALL SELECT 'C2', (SELECT count(*) > 0 FROM docs_gold) UNION ALL SELECT 'C3', (SELECT count(*) > 0 FROM scores)
+  UNION ALL SELECT 'C4', (SELECT count(*) > 0 AND bool_and(regime = 'char' OR tp + fn = n_gt) FROM counts)
+  UNION ALL SELECT 'C5a', (SELECT count(*) = 5 FROM grid WHERE (stage, backend) IN (('S1', 'NA'), ('S2', 'sim'), ('S3', 'sim'), ('S4', 'sim'), ('S5', 'sim')))
+  UNION ALL SELECT 'C5b', true
+  UNION ALL SELECT 'C6', (SELECT count(*) = 0 FROM bare JOIN docs_gold USING (doc_id) WHERE strpos(masked, pii_value) > 0 AND (length(pii_value) >= 4 OR (source_layer = 'NER' AND length(pii_value) >= 2)))
+  UNION ALL SELECT 'C7', (SELECT max(f1) FILTER (stage = 'S1') < max(f1) FILTER (stage = 'S2') FROM marks WHERE regime = 'exact')
+  UNION ALL SELECT 'C8', (SELECT (SELECT count(*) FROM ruled r WHERE NOT EXISTS (SELECT 1 FROM docs_gold g WHERE g.doc_id = r.doc_id AND g.start_char = r.start_char AND g.end_char = r.end_char AND g.entity_type = r.entity_type)) = 0
+    AND (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM ruled r WHERE g.doc_id = r.doc_id AND g.start_char = r.start_char AND g.end_char = r.end_char AND g.entity_type = r.entity_type) THEN 1 ELSE 0 END) FROM docs_gold g WHERE source_layer = 'PATTERN') >= 0.95))""".replace("SELECT * FROM (", """SELECT "check", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result FROM (""", 1),
+        "monitor_verification": LEAKS + ",\n" + SHADOW + f",\n{spans('ruled_main', 'docs')}" + """
+SELECT "check", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result FROM (SELECT 'M1' AS "check", (SELECT count(*) = 0 FROM drift_gold JOIN drift USING (doc_id) WHERE substring(text, start_char + 1, end_char - start_char) <> pii_value) AS ok
+  UNION ALL SELECT 'M2', (SELECT count(*) > 0 AND bool_and(NOT EXISTS (SELECT 1 FROM ruled r WHERE r.doc_id = g.doc_id AND r.start_char < g.end_char AND r.end_char > g.start_char)) FROM drift_gold g WHERE source_layer = 'PATTERN')
+  UNION ALL SELECT 'M3', (SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM drift_gold) AND doc_id NOT IN (SELECT doc_id FROM ruled)) / count(*) FROM drift) > (SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM docs_gold) AND doc_id NOT IN (SELECT doc_id FROM ruled_main)) / count(*) FROM docs)
+  UNION ALL SELECT 'M4', (SELECT n_after > n_before FROM after) UNION ALL SELECT 'M5', (SELECT count(*) = 0 FROM docs WHERE doc_id LIKE 'drift.%')
+  UNION ALL SELECT 'M6', true)""",
         "eval_shifted_partial": moved + "\nSELECT regime, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, n_docs, n_gt FROM counts",
-        "arch_grid": """SELECT stage, backend, col AS has_col_f1, span AS has_span_exact_f1, span AS has_span_partial_f1, span AS has_span_detect_f1, span AS has_span_char_recall, cost AS has_llm_route_rate,
-  CASE WHEN span THEN (SELECT count(*) FROM customer WHERE stage <> 'S5' OR c_custkey % 9 <> 0) END AS span_n_docs
-FROM (VALUES ('S1', 'NA', true, true, true), ('S2', 'sim', true, true, true), ('S3', 'NA', true, false, false), ('S3', 'sim', false, true, true), ('S4', 'sim', false, false, true), ('S5', 'sim', true, true, true)) t(stage, backend, col, span, cost)""",
+        "arch_grid": everything + """
+SELECT g.stage, g.backend, tp / nullif(tp + fp, 0)::DOUBLE AS col_precision, tp / nullif(tp + fn, 0)::DOUBLE AS col_recall, 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS col_f1, same / nullif(typed, 0)::DOUBLE AS col_category_acc,
+  p.span_exact_prec, p.span_exact_recall, p.span_exact_f1, p.span_partial_f1, p.span_detect_f1, p.span_char_recall, p.span_n_docs, c.r AS llm_route_rate
+FROM grid g LEFT JOIN scores s USING (stage, backend) LEFT JOIN picked_marks p USING (stage, backend) LEFT JOIN celled c USING (stage, backend)""",
         "grid_completeness": "SELECT stage, backend FROM (VALUES ('S1', 'sim'), ('S2', 'NA'), ('S3', 'NA'), ('S4', 'NA'), ('S4', 'sim'), ('S5', 'NA')) t(stage, backend)",
         "mask_values": with_(KEYS, PEOPLE) + "\nSELECT k, " + ", ".join(f"CASE WHEN {m}_v IS NOT NULL THEN {f(m + '_v')} END AS {m}" for m, (_, f) in MASKS.items()) + " FROM (SELECT k, " + ", ".join(f"{_odd(c)} AS {m}_v" for m, (c, _) in MASKS.items()) + " FROM people)",
         "risk_tags": COLUMNS + f"\nSELECT table_name, column_name, pred_category AS category, {risk_} AS risk, {masks_} AS mask FROM columns_said WHERE stage = 'S1' AND table_name = 'people' AND pred_is_pii AND column_name <> 'memo'",
@@ -220,13 +266,15 @@ FROM (VALUES ('S1', 'NA', true, true, true), ('S2', 'sim', true, true, true), ('
         "silent_rate": RATES + "\nSELECT * FROM rates",
         "health_breach": RATES + f"\nSELECT 'rule_silent' AS metric, {_breach('now', 'base')} AS breach, {_breach('base', 'base')} AS breach_main FROM (SELECT max(n_silent / n_docs) FILTER (corpus = 'drift') AS now, max(n_silent / n_docs) FILTER (corpus = 'main') AS base FROM rates)",
         "audit_cosign": ruled + "\nSELECT doc_id, start_char, end_char, entity_type, pii_value, EXISTS (SELECT 1 FROM ruled r WHERE r.doc_id = g.doc_id AND r.entity_type = g.entity_type AND r.start_char < g.end_char AND r.end_char > g.start_char) AS regex_cosign FROM docs_gold g",
-        "auditor_calibration": with_(MAIN, DRIFT, AUDIT) + "\nSELECT n_gold, n_audit, n_audit AS n_hit, n_audit < 0.9 * n_gold OR n_audit < 0.7 * n_audit AS degraded FROM (SELECT (SELECT count(*) FROM drift_gold) AS n_gold, (SELECT count(*) FROM audit) AS n_audit)",
+        "auditor_calibration": with_(MAIN, DRIFT, AUDIT) + """
+SELECT n_gold, n_audit, n_hit, n_hit < 0.9 * n_gold OR n_hit < 0.7 * n_audit AS degraded FROM (SELECT (SELECT count(*) FROM drift_gold) AS n_gold, (SELECT count(*) FROM audit) AS n_audit,
+  (SELECT count(*) FROM drift_gold g WHERE EXISTS (SELECT 1 FROM audit a WHERE a.doc_id = g.doc_id AND a.start_char = g.start_char AND a.end_char = g.end_char)) AS n_hit)""",
         "leaked_spans": LEAKS + "\nSELECT * FROM leaks",
         "shape_clusters": LEAKS + "\nSELECT * FROM clusters",
-        "shape_regex_shadow": LEAKS + """
+        "shape_regex_shadow": LEAKS + ",\n" + SHADOW + """
 SELECT entity_type, '(?<![A-Za-z0-9])' || regexp_replace(regexp_replace(replace(shape, '-', '\\-'), 'D([0-9]+)', '\\\\d{\\1}', 'g'), 'L([0-9]+)', '[A-Z]{\\1}', 'g') || '(?![A-Za-z0-9])' AS regex,
-  support AS recall_gain, 0::BIGINT AS clean_fp, true AS shadow_pass, true AS promoted FROM clusters""",
-        "repair_recall": LEAKS + "\nSELECT count(*) AS n_gold, 0::BIGINT AS n_before, count(*) AS n_after FROM drift_gold WHERE source_layer = 'PATTERN'",
+  support AS recall_gain, clean_fp, clean_fp = 0 AS shadow_pass, clean_fp = 0 AS promoted FROM shadowed""",
+        "repair_recall": LEAKS + ",\n" + SHADOW + "\nSELECT n_gold, n_before, n_after FROM after",
         "overlap_recall": with_(MAIN, spans("ruled", "docs"), ENTITIES, FINAL) + "\nSELECT count(*) AS n_gold, count(*) FILTER (EXISTS (SELECT 1 FROM final f WHERE f.entity_type = 'PERSON' AND f.doc_id = g.doc_id AND f.start_char < g.end_char AND f.end_char > g.start_char)) AS n_hit FROM docs_gold g WHERE entity_type = 'PERSON'",
         "promotion_gate": "SELECT n_nationkey, CASE WHEN n_nationkey - 5 >= 5 AND 2 * (n_nationkey % 7 - 3) >= -5 AND 2 * (n_nationkey % 5 - 3) >= -5 THEN 'PROMOTE' ELSE 'KEEP' END AS decision FROM nation",
         "cost_model": entity + ",\n" + _costs + "\nSELECT stage, round(r * 132000 + CASE WHEN stage IN ('S3', 'S4') THEN 10000 ELSE 0 END)::BIGINT AS micro_usd_per_1k FROM costs",

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import answers, masks
 from ..functions import spans as S
 from ..functions.patterns import CATEGORIES, TYPE_MAP
-from ..operators import cascade, columns, evaluate, governance, monitor, ner
-from ..sources.tables import TABLES, read
+from ..operators import cascade, columns, evaluate, governance, monitor, ner, providers, verify
+from ..sources.tables import TABLES, read, shared_folder
 from . import synth
 
 #: Columns that the column track samples, by table (text and whole numbers: their strings are the same everywhere).
@@ -221,12 +221,29 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.when(case == 3, F.concat(items, F.array(F.lit('{"value": "nowhere at all", "type": "PERSON"}')))).otherwise(items)
     body = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
     raw = F.when(case == 0, F.concat(F.lit("Sorry: "), F.substring(body, 1, 7))).when(case == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(case == 2, F.concat(F.lit('Here: {"spans": '), body, F.lit("} done"))).otherwise(body)
-    return S.once(docs(spark, sf_dir).select("doc_id", "k", "text", F.lit("sim").alias("backend"), raw.alias("llm_raw")))
+    return S.once(docs(spark, sf_dir).select("doc_id", "k", "text", "gold", F.lit("sim").alias("backend"), raw.alias("llm_raw")))
 
 
 def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = raw_answers(spark, sf_dir).select("doc_id", "k", "text", answers.span_items(F.col("llm_raw")).alias("parsed"))
-    return S.once(parsed).select("doc_id", "k", "text", F.col("parsed.ok").alias("ok"), F.size("parsed.items").cast("long").alias("n_items"), S.recover_spans(F.col("text"), F.col("parsed.items")).alias("spans")).transform(S.once)
+    parsed = raw_answers(spark, sf_dir).select("doc_id", "k", "text", "gold", answers.span_items(F.col("llm_raw")).alias("parsed"))
+    return S.once(parsed).select("doc_id", "k", "text", "gold", F.col("parsed.ok").alias("ok"), F.size("parsed.items").cast("long").alias("n_items"), S.recover_spans(F.col("text"), F.col("parsed.items")).alias("spans")).transform(S.once)
+
+
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, k, text, gold and the spans of each stage (s1, s2, s3, s5): every document is read, matched and parsed once."""
+    found = S.once(recovered(spark, sf_dir).select("doc_id", "k", "text", "gold", S.regex_spans(F.col("text")).alias("s1"), F.col("spans").alias("s5")))
+    named = F.transform(F.filter("gold", lambda g: g["entity_type"].isin("PERSON", "ADDRESS")), lambda g: F.struct(g["start_char"], g["end_char"], g["entity_type"], entity_score(F.col("k"), g["start_char"]).alias("score")))
+    sure = F.filter(named, lambda e: (e["score"] >= cascade.TAU) | F.coalesce(answers.keep(simulated_decision(e["start_char"])), F.lit(False)))
+    return found.select("doc_id", "k", "text", "gold", "s1", S.merge_spans(F.col("s1"), F.col("s5")).alias("s2"), S.merge_spans(F.col("s1"), cascade.with_values(F.col("text"), sure)).alias("s3"), "s5").transform(S.once)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stage, backend, doc_id, p, g: a row per cell and document that it covers, with what was found and the gold."""
+    short = lambda c: F.transform(c, lambda x: F.struct(x["start_char"].alias("s"), x["end_char"].alias("e"), x["entity_type"].alias("t")))
+    one = lambda stage, backend, c: F.struct(F.lit(stage).alias("stage"), F.lit(backend).alias("backend"), short(c).alias("p"))
+    ran = F.array(one("S1", "NA", "s1"), one("S2", "sim", "s2"), one("S3", "sim", "s3"))
+    every = F.when(F.col("k") % 9 != 0, F.concat(ran, F.array(one("S5", "sim", "s5")))).otherwise(ran)  # a model alone covers what it answered readably
+    return detected(spark, sf_dir).select("doc_id", F.array_sort(short("gold")).alias("g"), F.explode(every).alias("c")).select("c.stage", "c.backend", "doc_id", F.array_sort("c.p").alias("p"), "g")
 
 
 def llm_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,10 +262,20 @@ def merge_regex_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(recovered(spark, sf_dir).select("doc_id", S.merge_spans(S.regex_spans(F.col("text")), F.col("spans")).alias("spans")))
 
 
+def entity_score(k: Column, start: Column) -> Column:
+    return (F.lit(0.5) + (k * 7 + start) % 50 / 100).cast("double")
+
+
+def simulated_decision(start: Column) -> Column:
+    """An answer about an unsure span: JSON, bare words or rubbish by place; most say to keep."""
+    c = start % 4
+    return F.when(c == 0, '{"keep": true}').when(c == 1, 'So: "keep" : TRUE.').when(c == 2, '{"keep": false}').otherwise("who knows")
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated spans of two entity models: names and places of the gold, scored by key; the second is surer."""
     gold = docs(spark, sf_dir).select("doc_id", "k", F.explode("gold").alias("g")).select("doc_id", "k", "g.*").filter("entity_type in ('PERSON', 'ADDRESS')")
-    base = (F.lit(0.5) + (F.col("k") * 7 + F.col("start_char")) % 50 / 100).cast("double")
+    base = entity_score(F.col("k"), F.col("start_char"))
     models = F.explode(F.array(F.struct(F.lit("base").alias("model"), base.alias("score")), F.struct(F.lit("ft").alias("model"), (base + 0.25).alias("score"))))
     return gold.select("*", models.alias("m")).select(F.col("m.model").alias("model"), "doc_id", "k", "start_char", "end_char", "entity_type", F.col("m.score").alias("score"))
 
@@ -267,11 +294,17 @@ def cascade_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated answers about unsure spans: JSON, bare words or rubbish by place; most say to keep."""
-    low = cascade_lowconf(spark, sf_dir)
-    c = F.col("start_char") % 4
-    raw = F.when(c == 0, '{"keep": true}').when(c == 1, 'So: "keep" : TRUE.').when(c == 2, '{"keep": false}').otherwise("who knows")
-    return low.select("k", answers.keep(raw).alias("keep"))
+    return cascade_lowconf(spark, sf_dir).select("k", answers.keep(simulated_decision(F.col("start_char"))).alias("keep"))
+
+
+def even_length(prompt: str) -> str:
+    """What a stand-in for a model says of a span: to keep it if its value has an even length."""
+    return '{"keep": %s}' % ("true" if len(prompt.split('"')[1]) % 2 == 0 else "false")
+
+
+def cascade_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirm step as it runs with a model: prompts, a provider's answers, the limit on failures, decisions."""
+    return cascade.confirm(entities(spark, sf_dir).filter("model = 'base'"), docs(spark, sf_dir), providers.RuleProvider(even_length))
 
 
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,20 +316,22 @@ def cascade_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = lambda df, stage, backend: df.select(F.lit(stage).alias("stage"), F.lit(backend).alias("backend"), "doc_id", "start_char", "end_char", "entity_type")
-    return named(s1_spans_synth(spark, sf_dir), "S1", "NA").unionByName(named(merge_regex_llm(spark, sf_dir), "S2", "sim")).unionByName(named(cascade_finalize(spark, sf_dir), "S3", "sim")).unionByName(named(llm_recover_spans(spark, sf_dir), "S5", "sim"))
+    named = lambda stage, backend, c: F.transform(c, lambda x: F.struct(F.lit(stage).alias("stage"), F.lit(backend).alias("backend"), x["start_char"].alias("start_char"), x["end_char"].alias("end_char"), x["entity_type"].alias("entity_type")))
+    every = F.concat(named("S1", "NA", "s1"), named("S2", "sim", "s2"), named("S3", "sim", "s3"), named("S5", "sim", "s5"))
+    return detected(spark, sf_dir).select("doc_id", F.explode(every).alias("p")).select("p.stage", "p.backend", "doc_id", "p.start_char", "p.end_char", "p.entity_type")
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents for patterns; those with a readable answer for what a language model alone does."""
-    every = docs(spark, sf_dir)
-    named = lambda df, stage, backend: df.select(F.lit(stage).alias("stage"), F.lit(backend).alias("backend"), "doc_id")
-    return named(every, "S1", "NA").unionByName(named(every, "S2", "sim")).unionByName(named(every, "S3", "sim")).unionByName(named(every.filter("k % 9 <> 0"), "S5", "sim"))
+    """stage, backend, doc_id: what each cell covers, as ``cells`` has it."""
+    return cells(spark, sf_dir).select("stage", "backend", "doc_id")
+
+
+def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.totals(evaluate.row_counts(cells(spark, sf_dir)))
 
 
 def span_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate.evaluate_spans(predictions(spark, sf_dir), coverage(spark, sf_dir), synth.gold_spans(docs(spark, sf_dir)))
-    return found.select("stage", "backend", "regime", "tp", "fp", "fn", "n_docs", "n_gt")
+    return span_scores(spark, sf_dir)
 
 
 def eval_shifted_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,8 +343,8 @@ def eval_shifted_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate.evaluate_spans(predictions(spark, sf_dir), coverage(spark, sf_dir), synth.gold_spans(docs(spark, sf_dir)))
-    return evaluate.grid(found, col_eval(spark, sf_dir), cost_table(spark, sf_dir)).select("stage", "backend", *(F.col(c).isNotNull().alias(f"has_{c}") for c in ("col_f1", "span_exact_f1", "span_partial_f1", "span_detect_f1", "span_char_recall", "llm_route_rate")), "span_n_docs")
+    """The grid, but for latencies: those are measured, by ``evaluate.measure_latency``, and are not the same twice."""
+    return evaluate.grid(span_scores(spark, sf_dir), col_eval(spark, sf_dir), cost_table(spark, sf_dir)).drop("latency_p50_ms", "latency_p95_ms", "est_cost_usd_per_1k")
 
 
 def grid_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,8 +439,10 @@ def health_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The auditor's spans on the drift corpus: gold ones but for a few."""
-    return synth.gold_spans(drift(spark, sf_dir)).filter("length(doc_id) % 2 = 0 or start_char % 5 <> 0").drop("source_layer")
+    """The auditor's spans on the drift corpus: gold ones but for a few, and a word that it takes for an account."""
+    d = drift(spark, sf_dir)
+    wrong = d.filter("k % 12 = 3").select("doc_id", (F.length("text") - 2).alias("start_char"), F.length("text").alias("end_char"), F.lit("ACCOUNT").alias("entity_type"), F.expr("right(text, 2)").alias("pii_value"))
+    return synth.gold_spans(d).filter("length(doc_id) % 2 = 0 or start_char % 5 <> 0").drop("source_layer").unionByName(wrong)
 
 
 def audit_cosign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,17 +467,107 @@ def shape_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.shape_clusters(leaks(spark, sf_dir))
 
 
-def shape_regex_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shadowed(spark: SparkSession, sf_dir: str) -> tuple[list, DataFrame]:
     members = leaks(spark, sf_dir)
     found = monitor.proposals(monitor.shape_clusters(members))
     main = docs(spark, sf_dir)
     out = monitor.shadow(found, members, drift(spark, sf_dir), main, synth.gold_spans(main))
-    return monitor.promoted(out, approve=True).select("entity_type", "regex", "recall_gain", "clean_fp", "shadow_pass", "promoted")
+    return found, monitor.promoted(out, approve=True)
+
+
+def shape_regex_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shadowed(spark, sf_dir)[1].select("entity_type", "regex", "recall_gain", "clean_fp", "shadow_pass", "promoted")
 
 
 def repair_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = monitor.proposals(monitor.shape_clusters(leaks(spark, sf_dir)))
-    return monitor.repair_recall(drift(spark, sf_dir), synth.gold_spans(drift(spark, sf_dir)), found)
+    """With the rules that passed their shadow run alone."""
+    return monitor.repair_recall(drift(spark, sf_dir), synth.gold_spans(drift(spark, sf_dir)), monitor.passing(*shadowed(spark, sf_dir)))
+
+
+def drift_honesty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.honesty(drift(spark, sf_dir), synth.gold_spans(drift(spark, sf_dir)))
+
+
+def regex_vs_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.regex_against_gold(docs(spark, sf_dir), synth_gold_spans(spark, sf_dir))
+
+
+def col_scores_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.column_scores_again(column_predictions(spark, sf_dir), truth(spark), col_eval(spark, sf_dir))
+
+
+def span_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.span_identities(span_scores(spark, sf_dir), predictions(spark, sf_dir), coverage(spark, sf_dir))
+
+
+def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten checks of a run, a row each."""
+    gold, main = synth_gold_spans(spark, sf_dir), docs(spark, sf_dir)
+    columns_ = ["doc_id", "start_char", "end_char", "entity_type", "pii_value"]
+    sums = evaluate.checksum(gold, columns_).crossJoin(evaluate.checksum(gold.repartition(7, "entity_type"), columns_).toDF("n2", "checksum2"))
+    grid = arch_grid(spark, sf_dir)
+    wanted = spark.createDataFrame([("S1", "NA"), ("S2", "sim"), ("S3", "sim"), ("S4", "sim"), ("S5", "sim")], "stage string, backend string")
+    bad = lambda df: df.agg(F.count("*").alias("n"))
+    identities = span_identities(spark, sf_dir)
+    c = F.col
+    return verify.report([
+        verify.check("C1a", synth_offset_integrity(spark, sf_dir), (c("n_wrong") == 0) & (c("n_spans") > 0)),
+        verify.check("C1b", verify.legal_categories(truth(spark)), c("n_wrong") == 0),
+        verify.check("C2", sums, (c("checksum") == c("checksum2")) & (c("n_rows") > 0)),
+        verify.check("C3", col_scores_again(spark, sf_dir), (c("n_wrong") == 0) & (c("n_cells") > 0)),
+        verify.check("C4", identities.agg(F.count("*").alias("n"), F.count_if(~(c("gold_ok") & c("said_ok") & c("scores_ok"))).alias("n_wrong")), (c("n_wrong") == 0) & (c("n") > 0)),
+        verify.check("C5a", bad(wanted.join(grid, ["stage", "backend"], "left_anti")), c("n") == 0),
+        verify.check("C5b", monitor.no_json(raw_answers(spark, sf_dir)), c("n_failed") == 0),
+        verify.check("C6", bad(governance.residual_leaks(governance.masked_corpus(masked(spark, sf_dir)), gold)), c("n") == 0),
+        verify.check("C7", verify.monotone(grid, ("S1", "NA"), ("S2", "sim")), c("f1_first") < c("f1_second")),
+        verify.check("C8", verify.regex_against_gold(main, gold), (c("n_spurious") == 0) & (c("n_matched") >= verify.LEAST_MATCH * c("n_gold"))),
+    ])
+
+
+def monitor_verification(spark: SparkSession, sf_dir: str, approve: bool = True) -> DataFrame:
+    """The six checks of the monitor, a row each."""
+    d = drift(spark, sf_dir)
+    gold = synth.gold_spans(d)
+    found, out = shadowed(spark, sf_dir)
+    c = F.col
+    one = rates(spark, sf_dir).agg(F.max(F.when(c("corpus") == "drift", c("n_silent") / c("n_docs"))).alias("now"), F.max(F.when(c("corpus") == "main", c("n_silent") / c("n_docs"))).alias("base"))
+    return verify.report([
+        verify.check("M1", evaluate.offset_mismatches(gold, d).agg(F.count("*").alias("n")), c("n") == 0),
+        verify.check("M2", monitor.honesty(d, gold), (c("n_missed") == c("n_checked")) & (c("n_checked") > 0)),
+        verify.check("M3", one, c("now") > c("base")),
+        verify.check("M4", monitor.repair_recall(d, gold, monitor.passing(found, out)), c("n_after") > c("n_before")),
+        verify.check("M5", predictions(spark, sf_dir).agg(F.count_if(c("stage").isin("S1_FIXED") | c("doc_id").startswith("drift.")).alias("n")), c("n") == 0),
+        verify.check("M6", out.agg(F.count_if("promoted").alias("n"), F.count_if("shadow_pass").alias("ok")), (c("n") > 0) == (F.lit(approve) & (c("ok") > 0))),
+    ])
+
+
+def ner_champion(spark: SparkSession, sf_dir: str, approve: bool = True) -> DataFrame:
+    """Champion against challenger: a decision and the checks on it, in one row.
+
+    The champion knows the names of the main corpus; the challenger is fitted to those and to a half of documents with
+    new names.  Both are saved and loaded again before they are compared on the other half, on main documents and on
+    canaries; the samples are the ``300`` documents whose ids hash lowest.
+    """
+    part = lambda df, n: df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == n)
+    some = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300)
+    old, new, canary = docs(spark, sf_dir), synth.new_names(keys(spark, sf_dir)), train_corpus(spark, sf_dir)
+    base = shared_folder(spark, "models")
+    champion = ner.saved(ner.fit(part(old, 0)), f"{base}/champion")
+    challenger = ner.saved(ner.fit(ner.train_union(part(old, 0), part(new, 0))), f"{base}/challenger")
+    corpora = {"stress": some(part(new, 1)), "main": some(part(old, 1)), "canary": some(canary)}
+    recall = {name: {k: ner.person_recall(model, c) for k, c in corpora.items()} for name, model in (("champion", champion), ("challenger", challenger))}
+    row = evaluate.decision(recall["champion"], recall["challenger"], approve, f"{base}/champion", f"{base}/challenger")
+    log = spark.createDataFrame([row], evaluate.DECISION)
+    log.write.mode("append").parquet(f"{base}/log")
+    last = spark.read.schema(evaluate.DECISION).parquet(f"{base}/log").agg(F.max_by("active_model", "ts").alias("active"), F.max_by("decision", "ts").alias("decision"))
+    c = F.col
+    checks = verify.report([
+        verify.check("B1", log, c("chal_stress") >= c("champ_stress")),
+        verify.check("B2", log, (c("decision") == "PROMOTE") == ((c("delta_stress") >= 0.01) & c("main_ok") & c("canary_ok"))),
+        verify.check("B3", last, c("active").endswith("challenger") == ((c("decision") == "PROMOTE") & F.lit(approve))),
+        verify.check("B4", predictions(spark, sf_dir).agg(F.count_if(c("doc_id").startswith("newname.") | c("doc_id").startswith("drift.")).alias("n")), c("n") == 0),
+    ])
+    return checks.crossJoin(log.select("decision", "champ_stress", "chal_stress", "main_ok", "canary_ok", "approved"))
 
 
 def overlap_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,9 +595,8 @@ def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles by index: of event values by type."""
-    per = read(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list(F.col("user_id")).alias("x"))
-    return per.select("event_type", evaluate.percentile_index(F.col("x")).alias("p")).select("event_type", "p.p50", "p.p95")
+    """Percentiles by index: of the users of events, by type."""
+    return evaluate.percentiles(read(spark, sf_dir, "events"), "event_type", "user_id")
 
 
 def gt_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,9 +624,10 @@ def queries() -> dict:
         table_row_counts, s1_regex_spans_documents, s1_regex_spans_pages, s1_spans_synth, s1_overlap_email_wins, s1_span_type_distribution, s1_doc_span_counts, corpus_long_form,
         column_samples, column_profile, column_rule_ladder, column_rule_verdict, column_answer_parse, column_verdict_hybrid, column_verdict_llm_only, column_verdict_ner, col_eval,
         synth_corpus, synth_gold_spans, synth_offset_integrity, luhn_card_check, llm_response_parse, llm_parse_fail_rate, llm_recover_spans, merge_regex_llm,
-        ner_route_rate, cascade_lowconf, cascade_prompts, cascade_finalize, span_eval, eval_shifted_partial, arch_grid, grid_completeness,
+        ner_route_rate, cascade_lowconf, cascade_prompts, cascade_confirm, cascade_finalize, span_eval, eval_shifted_partial, arch_grid, grid_completeness,
         mask_values, risk_tags, masked_people_view, span_mask_synth, span_mask_documents, span_mask_audit, residual_leaks,
         hash_sample, verbatim_overlap, train_eval_antijoin, silent_rate, health_breach, audit_cosign, auditor_calibration, leaked_spans, shape_clusters, shape_regex_shadow, repair_recall,
         overlap_recall, promotion_gate, cost_model, latency_percentiles, gt_checksum, ner_train_eval, ground_truth_categories, type_map,
+        drift_honesty, regex_vs_gold, col_scores_again, span_identities, verification_report, monitor_verification, ner_champion,
     )
     return {f.__name__: f for f in chosen}

@@ -38,6 +38,14 @@ def padded(number: str, width: int) -> str:
     return f"lpad(CAST({number} AS STRING), {width}, '0')"
 
 
+def card_sql(groups: list[tuple[str, int]]) -> str:
+    """SQL for a card number of 16 digits: groups of 15 digits (numbers and their widths) and the Luhn check digit."""
+    digits = [f"(CAST(floor({number} / {10 ** (width - 1 - i)}) AS BIGINT) % 10)" for number, width in groups for i in range(width)]
+    total = " + ".join(f"(2 * {d} - 9 * CAST({d} > 4 AS BIGINT))" if i % 2 == 0 else d for i, d in enumerate(digits))
+    parts = ", '-', ".join(padded(number, width) for number, width in groups)
+    return f"concat({parts}, CAST((10 - ({total}) % 10) % 10 AS STRING))"
+
+
 def value_sql(k: str = "k") -> dict[str, str]:
     """SQL for a value of each type, from a key."""
     p = padded
@@ -49,7 +57,7 @@ def value_sql(k: str = "k") -> dict[str, str]:
         "PHONE": f"concat('010-', {p(f'({k} * 7919) % 9000 + 1000', 4)}, '-', {p(f'({k} * 104729) % 10000', 4)})",
         "RRN": f"concat({p(f'({k} * 31) % 100', 2)}, {p(f'({k} * 7) % 12 + 1', 2)}, {p(f'({k} * 13) % 28 + 1', 2)}, '-', CAST({k} % 4 + 1 AS STRING), {p(f'({k} * 611953) % 1000000', 6)})",
         "EMAIL": f"concat('user', CAST({k} AS STRING), '@mail', CAST({k} % 7 AS STRING), '.example.com')",
-        "CARD": f"concat({p(f'({k} * 17) % 9000 + 1000', 4)}, '-', {p(f'({k} * 37) % 10000', 4)}, '-', {p(f'({k} * 53) % 10000', 4)}, '-', {p(f'({k} * 71) % 10000', 4)})",
+        "CARD": card_sql([(f"(({k} * 17) % 9000 + 1000)", 4), (f"(({k} * 37) % 10000)", 4), (f"(({k} * 53) % 10000)", 4), (f"(({k} * 71) % 1000)", 3)]),
         "ACCOUNT": f"concat({p(f'({k} * 11) % 900 + 100', 3)}, '-', {p(f'({k} * 19) % 90 + 10', 2)}, '-', {p(f'({k} * 7717) % 1000000', 6)})",
         "IMEI": f"concat('35', {p(f'({k} * 9973) % 1000000', 6)}, {p(f'({k} * 6131) % 10000000', 7)})",
         "PASSPORT": f"concat('M', {p(f'({k} * 48611) % 100000000', 8)})",
@@ -101,6 +109,20 @@ def drift(keys: DataFrame) -> DataFrame:
     return filled(keys, "drift.body.", DRIFT, drift_sql())
 
 
+#: Invented people with names of other forms, for a corpus that a model of the main one hasn't seen.
+NEW_PEOPLE = ["남궁하늘이", "제갈 바다", "황보노을빛", "선우 이슬비", "독고가람결", "사공 다온해"]
+NEW_TEMPLATES: list[list[str | tuple[str]]] = [
+    ["문의하신 분은 ", ("PERSON",), " 이며 연락처 ", ("PHONE",)],
+    ["수신 ", ("PERSON",), " / 주소 ", ("ADDRESS",)],
+    ["확인자 [", ("PERSON",), "] 서명 완료"],
+]
+
+
+def new_names(keys: DataFrame) -> DataFrame:
+    people = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(NEW_PEOPLE))
+    return filled(keys, "newname.body.", NEW_TEMPLATES, value_sql() | {"PERSON": f"CASE (k * 5) % {len(NEW_PEOPLE)} {people} END"})
+
+
 def gold_spans(docs: DataFrame) -> DataFrame:
     """A row per gold span, with the layer that is to find it."""
     s = docs.select("doc_id", F.explode("gold").alias("g")).select("doc_id", "g.*")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,16 @@ def reach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, a temporary one in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="veilmark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reach(spark).read.parquet(f"{folder}/{name}.parquet")
 
@@ -77,6 +89,25 @@ class Workspace:
         target = self.table(table).schema
         df.select(*(F.col(f.name).cast(f.dataType) for f in target.fields)).write.mode("append").insertInto(self.name(table))
 
+    def merge_append(self, table: str, df: DataFrame) -> None:
+        """Append; columns that only one side has are null in the other's rows, and new ones are added to the table."""
+        if not self.exists(table):
+            df.write.saveAsTable(self.name(table))
+            return
+        known = {f.name.lower() for f in self.table(table).schema.fields}
+        if new := [f for f in df.schema.fields if f.name.lower() not in known]:
+            self.spark.sql(f"ALTER TABLE {self.name(table)} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+        there = {c.lower() for c in df.columns}
+        rows = df.select(*((F.col(f.name) if f.name.lower() in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.table(table).schema.fields))
+        rows.write.mode("append").insertInto(self.name(table))
+
+    def leaked_rows(self, table: str, prefixes: tuple[str, ...], column: str = "doc_id") -> int:
+        """How many rows of a table have a key that begins with one of the prefixes: rows that belong elsewhere."""
+        hit = F.lit(False)
+        for p in prefixes:
+            hit = hit | F.col(column).startswith(p)
+        return self.table(table).filter(hit).count()
+
     def replace_cells(self, table: str, df: DataFrame, cells: tuple[str, ...] = ("stage", "backend")) -> None:
         """Replace the partitions that ``df`` holds, and no others."""
         rest = [c for c in df.columns if c not in cells]
