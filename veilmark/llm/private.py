@@ -202,14 +202,14 @@ def scored_patterns(edges: DataFrame, rounds: int = 3, min_instances: int = 5, a
     links = edges.select("pattern", "instance")
     accepted = None
     for _ in range(rounds):
-        mass = links.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("known"))
+        mass = links.join(beliefs.hint("shuffle_hash"), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("known"))
         every = mass.groupBy("pattern").agg(F.sum("mass").alias("total"), F.sum("known").alias("known"))
         against = F.col("total") + UNKNOWN * F.greatest(F.col("n") - F.col("known"), F.lit(0)) + 1
-        scored = mass.drop("known").filter((F.col("mass") >= min_instances) & (F.col("kind") != NONE)).join(every, "pattern").join(sizes, "pattern")
+        scored = mass.drop("known").filter((F.col("mass") >= min_instances) & (F.col("kind") != NONE)).join(every.hint("shuffle_hash"), "pattern").join(sizes.hint("shuffle_hash"), "pattern")
         accepted = scored.withColumn("score", F.col("mass") / against).filter(F.col("score") >= accept).select("pattern", "kind", "n", "score")
         accepted = written(accepted, "patterns")
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))
-        others = links.join(accepted.select("pattern", "kind", "score"), "pattern").join(seeds, "instance", "left_anti")
+        others = links.join(accepted.select("pattern", "kind", "score").hint("shuffle_hash"), "pattern").join(seeds.hint("shuffle_hash"), "instance", "left_anti")
         learned = others.groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("belief"))
         beliefs = written(first.unionByName(learned), "beliefs")
     return accepted
