@@ -48,7 +48,11 @@ def train_dictionary(pages: DataFrame, sample_rows: int, sample_chars: int, size
 
     h = F.xxhash64("page_id", "url")
     at = F.pmod(h, F.greatest(F.length("html") - sample_chars + 1, F.lit(1))) + 1
-    rows = pages.filter("html <> ''").select(h.alias("h"), F.substring(F.col("html"), at.cast("int"), F.lit(sample_chars)).alias("x")).orderBy("h", "x").limit(sample_rows).collect()
+    some = pages.filter("html <> ''")
+    # the hashes alone go through the tasks' sorted lists; payloads are read for those that won
+    last = some.select(h.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h").alias("h")).first().h
+    rows = [] if last is None else some.filter(h <= last).select(h.alias("h"), F.substring(F.col("html"), at.cast("int"), F.lit(sample_chars)).alias("x")).limit(sample_rows).collect()
+    rows.sort()
     samples = [r.x.encode() for r in rows]
     try:
         if len(samples) >= 8:
