@@ -42,8 +42,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Elements of a block of running totals.
-BLOCK = 64
+#: Elements of a block of running totals; up to ``FEW`` elements aren't worth it.
+BLOCK, FEW = 64, 32
 
 
 def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
@@ -66,28 +66,49 @@ def occurrences(text: Column, regex: str | Column) -> Column:
     """Matches with offsets in code points: ``array<struct<start, value>>``.
 
     The strings between matches give the offsets; regular expression positions count UTF-16 units and wouldn't do.
+    Few matches are placed one after the other, many by running totals: with the same result.
     """
+    kind = "array<struct<start:int,value:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value")))).alias("out"))
+
     pattern = F.lit(regex) if isinstance(regex, str) else regex
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
     def place(values: Column) -> Column:
         pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-        return let(pairs, lambda p: F.zip_with(p, running(F.transform(p, lambda x: x["gap"] + F.length(x["value"])), lambda a, n: a + n), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["value"].alias("value"))))
+        few = lambda p: F.aggregate(p, zero, add)["out"]
+        return let(pairs, lambda p: F.when(F.size(p) <= FEW, few(p)).otherwise(many(p)))
+
+    def many(p: Column) -> Column:
+        return F.zip_with(p, running(F.transform(p, lambda x: x["gap"] + F.length(x["value"])), lambda a, n: a + n), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["value"].alias("value")))
 
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    return let(found, lambda v: F.when(F.size(v) == 0, F.array().cast("array<struct<start:int,value:string>>")).otherwise(place(v)))
+    return let(found, lambda v: F.when(F.size(v) == 0, F.array().cast(kind)).otherwise(place(v)))
 
 
 def candidates(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
-    """All matches of all patterns, with priorities; a pattern runs where its guard holds."""
-    def found(p: Pattern) -> Column:
-        def candidate(m: Column) -> Column:
-            return F.struct(m["start"].alias("start_char"), (m["start"] + F.length(m["value"])).alias("end_char"), F.lit(p.entity_type).alias("entity_type"), m["value"].alias("pii_value"), F.lit(1.0).alias("score"), F.lit(p.priority).alias("priority"))
+    """All matches of all patterns, with priorities; a pattern runs where its guard holds.
 
+    The patterns that run are an array, so that matching is one expression, however many patterns there are.
+    """
+    kind = "struct<regex:string,entity_type:string,priority:int>"
+
+    def run(p: Pattern) -> Column:
         there = text.contains(p.guard) if p.guard == "@" else text.rlike(p.guard)
-        return F.when(there, F.transform(occurrences(text, p.linear or p.regex), candidate)).otherwise(none(f"array<{CANDIDATE}>"))
+        return F.when(there, F.struct(F.lit(p.linear or p.regex).alias("regex"), F.lit(p.entity_type).alias("entity_type"), F.lit(p.priority).alias("priority")))
+
+    def found(p: Column) -> Column:
+        def candidate(m: Column) -> Column:
+            return F.struct(m["start"].alias("start_char"), (m["start"] + F.length(m["value"])).alias("end_char"), p["entity_type"].alias("entity_type"), m["value"].alias("pii_value"), F.lit(1.0).alias("score"), p["priority"].alias("priority"))
+
+        return F.transform(occurrences(text, p["regex"]), candidate)
 
-    return F.concat(*(found(p) for p in patterns))
+    ready = F.filter(F.array(*(run(p) for p in patterns)).cast(f"array<{kind}>"), lambda p: p.isNotNull())
+    return F.flatten(F.transform(ready, found))
 
 
 def by_overlap(found: Column) -> Column:
@@ -113,21 +134,25 @@ def by_start(spans: Column) -> Column:
     return F.array_sort(plain)
 
 
-def regex_spans(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
-    """Pattern spans of a text; of overlapping ones the larger priority stays, then the longer, then the first.
+def resolved(found: Column) -> Column:
+    """Spans out of candidates: of overlapping ones the larger priority stays, then the longer, then the first.
 
-    Candidates that overlap no other stay at once; only those that do are compared with each other.
+    Of many, those that overlap no other stay at once, and only the rest are compared with each other.
     """
     first = lambda a, b: F.coalesce(
         F.nullif(b["priority"] - a["priority"], F.lit(0)),
         F.nullif((b["end_char"] - b["start_char"]) - (a["end_char"] - a["start_char"]), F.lit(0)),
         a["start_char"] - b["start_char"],
     )
-    found = F.coalesce(candidates(text, patterns), none(f"array<{CANDIDATE}>"))
-
     pick = lambda marked, alone: F.transform(F.filter(marked, lambda m: m["alone"] == alone), lambda m: m["x"])
     settle = lambda marked: F.concat(pick(marked, F.lit(True)), keep_disjoint(F.array_sort(pick(marked, F.lit(False)), first)))
-    return by_start(let(found, lambda f: F.when(F.size(f) <= 1, f).otherwise(let(by_overlap(f), settle))))
+    many = lambda f: let(by_overlap(f), settle)
+    return by_start(let(found, lambda f: F.when(F.size(f) <= 1, f).when(F.size(f) <= FEW, keep_disjoint(F.array_sort(f, first))).otherwise(many(f))))
+
+
+def regex_spans(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
+    """Pattern spans of a text, disjoint (see ``resolved``)."""
+    return resolved(F.coalesce(candidates(text, patterns), none(f"array<{CANDIDATE}>")))
 
 
 def norm_type(name: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import span_items, unreadable
 from ..functions.patterns import PATTERNS, STRUCTURED, Pattern
-from ..functions.spans import candidates, occurrences, overlap, regex_spans, shape
+from ..functions.spans import candidates, occurrences, once, overlap, regex_spans, resolved, shape
 
 #: What a repaired rule of each type counts against the built-in ones.
 PRIORITY = {"RRN": 8, "ACCOUNT": 7, "CARD": 7, "PHONE": 6, "PASSPORT": 5, "IMEI": 4, "EMAIL": 9}
@@ -88,8 +88,10 @@ def shadow(candidates_: list[Pattern], members: DataFrame, drift: DataFrame, cle
     spark = drift.sparkSession
     ask = [(i, p.entity_type, p.regex) for i, p in enumerate(candidates_)]
     frame = spark.createDataFrame(ask, "i int, entity_type string, regex string")
-    per_doc = F.array(*(F.struct(F.lit(i).alias("i"), regex_spans(F.col("text"), [*PATTERNS, p]).alias("spans")) for i, p in enumerate(candidates_))) if candidates_ else F.array().cast("array<struct<i:int,spans:array<struct<start_char:int,end_char:int,entity_type:string>>>>")
-    found = drift.select("doc_id", F.explode(per_doc).alias("c")).select("doc_id", "c.i", F.explode("c.spans").alias("s"))
+    # the built-in patterns are matched once for all candidates
+    known = once(drift.select("doc_id", "text", candidates(F.col("text")).alias("base")))
+    per_doc = F.array(*(F.struct(F.lit(i).alias("i"), resolved(F.concat("base", candidates(F.col("text"), [p]))).alias("spans")) for i, p in enumerate(candidates_))) if candidates_ else F.array().cast("array<struct<i:int,spans:array<struct<start_char:int,end_char:int,entity_type:string>>>>")
+    found = known.select("doc_id", F.explode(per_doc).alias("c")).select("doc_id", "c.i", F.explode("c.spans").alias("s"))
     hits = found.select("doc_id", "i", F.col("s.start_char").alias("start_char"), F.col("s.end_char").alias("end_char"), F.col("s.entity_type").alias("entity_type"))
     named = members.join(frame, "entity_type").filter(F.expr("regexp_like(pii_value, concat('^(?:', regex, ')$'))"))
     gain = named.join(hits, ["doc_id", "i", "start_char", "end_char", "entity_type"], "left_semi").groupBy("i").agg(F.count("*").alias("recall_gain"))
