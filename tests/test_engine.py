@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilmark.functions import answers, masks
 from veilmark.functions import spans as S
 from veilmark.functions.patterns import PATTERNS, Pattern
-from veilmark.operators import cascade, columns, evaluate, governance, monitor, providers
+from veilmark.operators import cascade, columns, evaluate, governance, monitor, ner, providers
 from veilmark.plans import oracles, queries
 from veilmark.sources import tables
 
@@ -356,3 +356,14 @@ def test_generated_cards_pass_luhn(spark):
 
     rows = spark.range(3000).select(F.expr(synth.value_sql("id")["CARD"]).alias("card")).select("card", S.luhn(F.col("card")).alias("ok")).collect()
     assert all(r.ok and re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", r.card) for r in rows) and len({r.card for r in rows}) > 2500
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_of_tokens_need_no_join(spark):
+    labelled = ner.labelled(queries.docs(spark, DATA))
+    assert "Join" not in plan(labelled)
+    gold = queries.docs(spark, DATA).selectExpr("explode(gold) g").filter("g.entity_type in ('PERSON', 'ADDRESS')").count()
+    assert labelled.filter("label like 'B-%'").count() == gold > 0
