@@ -12,6 +12,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from veilmark.llm import html_text, ngram, private, quality, substrings, warc
 from veilmark.llm.bpe import Vocabulary, chunks
@@ -195,6 +197,13 @@ def test_toxic_parts_are_learned_from_labels(spark):
     assert [measure(t)[-1] for t in ("", "bad", "BADLY worse, worsen (bady)", "xbad")] == [0, 0, 2, 0]
 
 
+def test_lexicon_learns_from_all_labels(spark):
+    """More labels than any sample had; the toxic documents are those whose ids hash highest."""
+    ids = spark.range(10_040).withColumnRenamed("id", "doc_id").withColumn("late", F.row_number().over(Window.orderBy(F.desc(F.xxhash64("doc_id")))) <= 30)
+    docs = ids.select("doc_id", F.when(F.col("late"), F.concat(F.lit("vileword n"), "doc_id")).otherwise(F.concat(F.lit("fine n"), "doc_id")).alias("text"))
+    assert quality.learn_lexicon(docs, ids.select("doc_id", F.col("late").cast("int").alias("toxic"))) == {"vileword", "vile*", "vilew*", "vilewo*", "vilewor*"}
+
+
 def test_toxic_recall_on_labels(spark):
     """Fitted to two thirds of the labelled documents, judged on the others; figures are in the README."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

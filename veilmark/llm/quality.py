@@ -4,9 +4,8 @@ Every rule is evaluated once per document; the ledger keeps the measurements and
 versioned policy is a mask of the bits that reject, so that applying another version, or asking what each rule
 alone costs, needs bit operations over the ledger and no text.
 
-The rule on toxicity has no word list of its own: ``learn_lexicon`` finds, in a bounded sample of labelled documents,
-the words and beginnings of words that occur almost only in those labelled toxic, and the ledger counts the words that
-have one.
+The rule on toxicity has no word list of its own: ``learn_lexicon`` finds, in all labelled documents, the words and
+beginnings of words that occur almost only in those labelled toxic, and the ledger counts the words that have one.
 
 Defined results: null and empty texts have no words and fail the rule on length; ids may be null or repeated
 (one row each); very long texts are measured whole; an empty table gives an empty ledger; columns other than id
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, map_arrow, prepare, written
+from ._common import free_name, map_arrow, prepare
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -70,8 +69,6 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 _upper, _lower = bytes(range(65, 91)), bytes(range(97, 123))
-#: Labelled documents that the lexicon is learned from at most: those whose ids hash lowest.
-N_TRAIN = 10_000
 #: A word's parts are the word without these marks around it, and its beginnings of these lengths where it is longer.
 MARKS, BEGINNINGS = ".,;:!?\"'()", (4, 5, 6, 7, 8)
 #: A part is toxic if so many toxic texts have it, and they are at least this share (in hundredths) of all that have it
@@ -114,43 +111,42 @@ class Measure:
         return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, upper + lower, self.toxic(raw.lower().split())
 
 
-def part_counts(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """part, n: in how many of the texts (column text) it occurs; counted in each task before anything is shuffled."""
-    spark = texts.sparkSession
-    chosen = spark.sparkContext.broadcast(only)
+def part_counts(texts: DataFrame) -> DataFrame:
+    """part, n_toxic, n_clean: in how many toxic and other texts (columns text and toxic, 1 or 0) it occurs; counted in each
+    task before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, wanted = Counter(), chosen.value
+        counts = (Counter(), Counter())
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["part", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for n, names in zip(counts, (("n_clean", "n_toxic"), ("n_toxic", "n_clean")), strict=True):
+                if n:
+                    both = {names[0]: pa.array(n.values(), pa.int64()), names[1]: pa.array([0] * len(n), pa.int64())}
+                    yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), both["n_toxic"], both["n_clean"]], names=["part", "n_toxic", "n_clean"])
+                n.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = {p for w in set(text.encode().lower().split()) for p in parts(w)}
-                counts.update(found if wanted is None else found & wanted)
-                if len(counts) > 500_000:
-                    yield flush()
-                    counts.clear()
-        if counts:
-            yield flush()
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[toxic].update({p for w in set(text.encode().lower().split()) for p in parts(w)})
+                if len(counts[0]) + len(counts[1]) > 500_000:
+                    yield from flush()
+        yield from flush()
 
-    return texts.mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    prepare(texts.sparkSession)
+    return texts.select("text", "toxic").mapInArrow(run, "part string, n_toxic long, n_clean long").groupBy("part").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, n_train: int = N_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
-    """The toxic parts, from at most ``n_train`` rows of ``labels`` (doc_id, toxic).
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
+    """The toxic parts, from all rows of ``labels`` (doc_id, toxic).
 
-    Each part has to occur in ``LEAST_DOCUMENTS`` toxic documents of the sample, which bounds the lexicon.
+    Texts meet their labels in a join, and parts are judged where they are counted: the driver gets the lexicon alone.
     """
-    sample = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("id"), "id", "toxic").limit(n_train)
-    rows = prepare(docs.sparkSession) and docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
-    sample = written(rows.join(F.broadcast(sample), "id").select("text", "toxic").distinct(), "labelled")
-    often = {r.part: r.n for r in part_counts(sample.filter("toxic = 1").select("text")).filter(F.col("n") >= LEAST_DOCUMENTS).collect()}
-    if not often:
-        return frozenset()
-    clean = {r.part: r.n for r in part_counts(sample.filter("toxic = 0").select("text"), frozenset(often)).collect()}
-    return frozenset(p for p, n in often.items() if 100 * n >= LEAST_SHARE * (n + clean.get(p, 0) + DOUBT))
+    marks = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
+    counts = part_counts(rows.join(marks, "id").select("text", "toxic").distinct())
+    n = F.col("n_toxic")
+    toxic = (n >= LEAST_DOCUMENTS) & (100 * n >= LEAST_SHARE * (n + F.col("n_clean") + DOUBT))
+    return frozenset(r.part for r in counts.filter(toxic).select("part").collect())
 
 
 LEDGER = "ledger"
@@ -222,10 +218,7 @@ def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The ledger under the current policy in DuckDB SQL, written apart from the code above.
-
-    The lexicon is learned from all labels: from as many as the sample, where there are no more than ``N_TRAIN``.
-    """
+    """The ledger under the current policy in DuckDB SQL, written apart from the code above."""
     policy = " OR ".join(f"({rule})" for name, rule in RULES if name in POLICIES[CURRENT])
     bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
     return f"""{_book_sql()}
