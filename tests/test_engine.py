@@ -367,3 +367,12 @@ def test_labels_of_tokens_need_no_join(spark):
     assert "Join" not in plan(labelled)
     gold = queries.docs(spark, DATA).selectExpr("explode(gold) g").filter("g.entity_type in ('PERSON', 'ADDRESS')").count()
     assert labelled.filter("label like 'B-%'").count() == gold > 0
+
+
+def test_keys_are_dealt_out_by_their_number(spark, tmp_path):
+    n = 3 * queries.KEYS_PER_TASK - 5
+    spark.range(n).selectExpr("id c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries.keys(spark, str(tmp_path))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and sum(sizes) == n and max(sizes) <= queries.KEYS_PER_TASK + 1
+    assert queries.keys(spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
