@@ -376,3 +376,8 @@ def test_keys_are_dealt_out_by_their_number(spark, tmp_path):
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 3 and sum(sizes) == n and max(sizes) <= queries.KEYS_PER_TASK + 1
     assert queries.keys(spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+
+
+def test_nothing_is_made_of_keys_before_they_are_dealt_out(spark):
+    read = plan(queries.s1_overlap_email_wins(spark, DATA)).split("Repartition")[1]
+    assert "regexp_extract_all" not in read and "concat" not in read
