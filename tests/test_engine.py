@@ -378,6 +378,18 @@ def test_keys_are_dealt_out_by_their_number(spark, tmp_path):
     assert queries.keys(spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
 
 
+def test_reports_make_what_they_judge_once(spark, monkeypatch):
+    calls = []
+    detected, rules = queries.detected, queries.rules
+    monkeypatch.setattr(queries, "detected", lambda *a: calls.append("detected") or detected(*a))
+    monkeypatch.setattr(queries, "rules", lambda *a: calls.append("rules") or rules(*a))
+    assert {r.result for r in queries.verification_report(spark, DATA).collect()} == {"PASS"}
+    assert sorted(calls) == ["detected", "rules"]
+    calls.clear()
+    queries.span_identities(spark, DATA)
+    assert calls == ["detected"]
+
+
 def test_nothing_is_made_of_keys_before_they_are_dealt_out(spark):
     read = plan(queries.s1_overlap_email_wins(spark, DATA)).split("Repartition")[1]
     assert "regexp_extract_all" not in read and "concat" not in read

@@ -17,7 +17,7 @@ PRIORITY = {"RRN": 8, "ACCOUNT": 7, "CARD": 7, "PHONE": 6, "PASSPORT": 5, "IMEI"
 
 def silent_rate(docs: DataFrame, rule: DataFrame, model: DataFrame) -> DataFrame:
     """n_docs and n_silent: documents in which the model finds something and the rules nothing."""
-    flags = docs.select("doc_id").join(rule.select("doc_id", F.lit(True).alias("r")).distinct(), "doc_id", "left").join(model.select("doc_id", F.lit(True).alias("m")).distinct(), "doc_id", "left")
+    flags = docs.select("doc_id").join(rule.select("doc_id", F.lit(True).alias("r")).distinct().hint("merge"), "doc_id", "left").join(model.select("doc_id", F.lit(True).alias("m")).distinct().hint("merge"), "doc_id", "left")
     return flags.agg(F.count("*").alias("n_docs"), F.count_if(F.col("m").isNotNull() & F.col("r").isNull()).alias("n_silent"))
 
 
@@ -39,14 +39,14 @@ def breach(now: Column, base: Column) -> Column:
 
 def cosigned(audit: DataFrame, docs: DataFrame) -> DataFrame:
     """Audit spans with whether a pattern span of the same type touches them."""
-    rows = audit.join(docs.select("doc_id", regex_spans(F.col("text")).alias("spans")), "doc_id")
+    rows = audit.join(docs.select("doc_id", regex_spans(F.col("text")).alias("spans")).hint("merge"), "doc_id")
     here = F.struct("start_char", "end_char")
     return rows.withColumn("regex_cosign", F.exists("spans", lambda s: (s["entity_type"] == F.col("entity_type")) & overlap(s, here))).drop("spans")
 
 
 def calibration(audit: DataFrame, gold: DataFrame, docs: DataFrame, recall_floor: float = 0.90, precision_floor: float = 0.70) -> DataFrame:
     """n_gold, n_audit, n_hit and degraded of the auditor against gold, by offsets, over these documents."""
-    within = lambda df: df.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "start_char", "end_char").distinct()
+    within = lambda df: df.join(docs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "start_char", "end_char").distinct()
     a, g = within(audit).withColumn("a", F.lit(1)), within(gold).withColumn("g", F.lit(1))
     n = a.join(g, ["doc_id", "start_char", "end_char"], "full").agg(F.count("g").alias("n_gold"), F.count("a").alias("n_audit"), F.count_if(F.col("a").isNotNull() & F.col("g").isNotNull()).alias("n_hit"))
     return n.withColumn("degraded", (F.col("n_hit") < recall_floor * F.col("n_gold")) | (F.col("n_hit") < precision_floor * F.col("n_audit")))
@@ -54,7 +54,7 @@ def calibration(audit: DataFrame, gold: DataFrame, docs: DataFrame, recall_floor
 
 def leaked(silver: DataFrame, rule: DataFrame) -> DataFrame:
     """Silver spans of structured types that the rules didn't find at the same place."""
-    return silver.filter(F.col("entity_type").isin(*STRUCTURED)).join(rule.select("doc_id", "start_char", "end_char").distinct(), ["doc_id", "start_char", "end_char"], "left_anti")
+    return silver.filter(F.col("entity_type").isin(*STRUCTURED)).join(rule.select("doc_id", "start_char", "end_char").distinct().hint("merge"), ["doc_id", "start_char", "end_char"], "left_anti")
 
 
 def shape_clusters(spans: DataFrame, min_support: int = 2) -> DataFrame:
@@ -94,11 +94,11 @@ def shadow(candidates_: list[Pattern], members: DataFrame, drift: DataFrame, cle
     found = known.select("doc_id", F.explode(per_doc).alias("c")).select("doc_id", "c.i", F.explode("c.spans").alias("s"))
     hits = found.select("doc_id", "i", F.col("s.start_char").alias("start_char"), F.col("s.end_char").alias("end_char"), F.col("s.entity_type").alias("entity_type"))
     named = members.join(frame, "entity_type").filter(F.expr("regexp_like(pii_value, concat('^(?:', regex, ')$'))"))
-    gain = named.join(hits, ["doc_id", "i", "start_char", "end_char", "entity_type"], "left_semi").groupBy("i").agg(F.count("*").alias("recall_gain"))
+    gain = named.join(hits.hint("merge"), ["doc_id", "i", "start_char", "end_char", "entity_type"], "left_semi").groupBy("i").agg(F.count("*").alias("recall_gain"))
     raw = F.array(*(F.struct(F.lit(i).alias("i"), occurrences(F.col("text"), p.regex).alias("m")) for i, p in enumerate(candidates_))) if candidates_ else F.array().cast("array<struct<i:int,m:array<struct<start:int,value:string>>>>")
     matches = clean.select("doc_id", F.explode(raw).alias("c")).select("doc_id", "c.i", F.explode("c.m").alias("m"))
     places = matches.select("doc_id", "i", F.col("m.start").alias("start_char"), (F.col("m.start") + F.length("m.value")).alias("end_char"))
-    false = places.join(clean_gold.select("doc_id", "start_char", "end_char").distinct(), ["doc_id", "start_char", "end_char"], "left_anti").groupBy("i").agg(F.count("*").alias("clean_fp"))
+    false = places.join(clean_gold.select("doc_id", "start_char", "end_char").distinct().hint("merge"), ["doc_id", "start_char", "end_char"], "left_anti").groupBy("i").agg(F.count("*").alias("clean_fp"))
     out = frame.join(gain, "i", "left").join(false, "i", "left").na.fill(0, ["recall_gain", "clean_fp"])
     return out.withColumn("shadow_pass", (F.col("recall_gain") > 0) & (F.col("clean_fp") == 0)).drop("i")
 
@@ -118,7 +118,7 @@ def honesty(drift: DataFrame, gold: DataFrame) -> DataFrame:
     """n_checked, n_missed: structured spans of the new formats, and those that no pattern span touches."""
     found = drift.select("doc_id", regex_spans(F.col("text")).alias("spans"))
     here = F.struct("start_char", "end_char")
-    rows = gold.filter(F.col("entity_type").isin(*STRUCTURED)).select("doc_id", "start_char", "end_char").distinct().join(found, "doc_id")
+    rows = gold.filter(F.col("entity_type").isin(*STRUCTURED)).select("doc_id", "start_char", "end_char").distinct().join(found.hint("merge"), "doc_id")
     return rows.agg(F.count("*").alias("n_checked"), F.count_if(~F.exists("spans", lambda s: overlap(s, here))).alias("n_missed"))
 
 
@@ -130,7 +130,7 @@ def repair_recall(drift: DataFrame, gold: DataFrame, more: list[Pattern]) -> Dat
     """n_gold, n_before, n_after: structured gold spans that are found exactly, without and with these rules."""
     places = lambda c: F.transform(c, lambda s: F.struct(s["start_char"].alias("s"), s["end_char"].alias("e")))
     found = drift.select("doc_id", places(regex_spans(F.col("text"))).alias("before"), places(augmented_spans(F.col("text"), more)).alias("after"))
-    rows = gold.filter(F.col("entity_type").isin(*STRUCTURED)).select("doc_id", F.struct(F.col("start_char").alias("s"), F.col("end_char").alias("e")).alias("x")).distinct().join(found, "doc_id")
+    rows = gold.filter(F.col("entity_type").isin(*STRUCTURED)).select("doc_id", F.struct(F.col("start_char").alias("s"), F.col("end_char").alias("e")).alias("x")).distinct().join(found.hint("merge"), "doc_id")
     return rows.agg(F.count("*").alias("n_gold"), F.count_if(F.array_contains("before", F.col("x"))).alias("n_before"), F.count_if(F.array_contains("after", F.col("x"))).alias("n_after"))
 
 
