@@ -9,8 +9,9 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
-from veilmark.llm import substrings
+from veilmark.llm import quality, substrings
 
 from .test_operators import brute_removed, documents, words
 
@@ -241,3 +242,42 @@ def test_short_items_are_matched_exactly(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.item_id or 0, r.edits, r.start_char, r.end_char) for r in contaminated(docs, items).collect())
     assert got == [(0, 0, 0, 9, 20), (1, 1, 0, 4, 17), (3, 2, 0, 0, 3), (5, 2, 0, 4, 7), (7, 1, 0, 0, 13)]
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_lexicon_moves_only_labelled_texts(spark, tmp_path):
+    """A text without a label, and a further copy of one with a label, stays where it is read."""
+    r = random.Random(5)
+    noise = lambda: "".join(r.choices("0123456789abcdef", k=20_000))
+    rows = [(i, noise()) for i in range(1000)] + [(2000 + i, "same " + "copy " * 4000) for i in range(200)] + [(5, None), (None, noise())]
+    marks = [(i, 1) for i in range(10)] + [(2000 + i, 0) for i in range(200)] + [(7, 0), (7, 0), (None, 1), (1001, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs, labels = spark.read.parquet(f"{tmp_path}/d"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    joined = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        assert quality.learn_lexicon(docs, labels) == frozenset()
+        assert shuffled(spark) - before < 2_000_000  # the texts are 20 MB, and half of that when compressed
+        named = docs.select(F.col("doc_id").alias("id"), "text").filter("text is not null")
+        texts, _ = quality.labelled_texts(named, labels.filter("toxic in (0, 1)").withColumnRenamed("doc_id", "id"))
+        got = sorted((x.text, x.toxic) for x in texts.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
+    text = dict(rows[:1000])
+    assert got == sorted([(text[i], 1) for i in range(10)] + [(text[7], 0), (rows[1000][1], 0)])
+
+
+def test_filter_of_keys_lets_all_of_them_through(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    there = quality.met(keys, 20_000)
+    others = spark.range(20_000, 60_000).select(F.xxhash64("id").alias("key"))
+    assert keys.filter(there("key")).count() == 20_000
+    assert others.filter(there("key")).count() < 4_000

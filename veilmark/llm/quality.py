@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, map_arrow, prepare
+from ._common import free_name, map_arrow, prepare, release, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -136,6 +138,43 @@ def part_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text", "toxic").mapInArrow(run, "part string, n_toxic long, n_clean long").groupBy("part").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
+#: Bits for each labelled text in the filter of ``met``, and the most bits it has (32 MB): more texts make it let more through.
+FILTER_BITS, MOST_BITS = 8, 1 << 28
+
+
+def met(keys: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A condition that holds for all of ``n`` whole numbers (column key) and for few others (a Bloom filter of two places a
+    number).  Its words are put together by Spark; the driver gets at most ``MOST_BITS``, however many numbers there are."""
+    bits = min(MOST_BITS, max(64, 1 << (FILTER_BITS * n - 1).bit_length()))
+    places = keys.select(F.explode(F.expr(f"array(key & {bits - 1}L, shiftrightunsigned(key, 32) & {bits - 1}L)")).alias("p"))
+    found = places.groupBy(F.expr("shiftright(p, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63L as int)))").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found["at"].to_numpy()] = found["word"].to_numpy()
+    shared = prepare(keys.sparkSession).sparkContext.broadcast(words.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def there(key: pd.Series) -> pd.Series:
+        k, yes = key.to_numpy(np.int64).view(np.uint64), True
+        for p in (k & np.uint64(bits - 1), (k >> np.uint64(32)) & np.uint64(bits - 1)):
+            yes = yes & ((shared.value[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return pd.Series(yes)
+
+    return there
+
+
+def labelled_texts(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """text, toxic: each labelled text once for each label that it has, of ``rows`` (id, text) and ``marks`` (id, toxic); and
+    the stored table behind it, to be released.
+
+    Digests meet the labels and one row is chosen for each text; then texts move once, and of those that aren't
+    chosen hardly any does.
+    """
+    hashed = rows.withColumn("h", F.unhex(F.sha2("text", 256))).withColumn("key", F.xxhash64("id", "h"))
+    chosen = written(hashed.drop("text", "key").join(marks, "id").groupBy("h", "toxic").agg(F.min("id").alias("id")), "labelled")
+    there = met(chosen.select(F.xxhash64("id", "h").alias("key")), chosen.count())
+    return hashed.filter(there("key")).drop("key").join(chosen, ["id", "h"]).dropDuplicates(["id", "h", "toxic"]).select("text", "toxic"), chosen
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
     """The toxic parts, from all rows of ``labels`` (doc_id, toxic).
 
@@ -143,10 +182,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
-    counts = part_counts(rows.join(marks, "id").select("text", "toxic").distinct())
+    texts, chosen = labelled_texts(rows, marks)
     n = F.col("n_toxic")
     toxic = (n >= LEAST_DOCUMENTS) & (100 * n >= LEAST_SHARE * (n + F.col("n_clean") + DOUBT))
-    return frozenset(r.part for r in counts.filter(toxic).select("part").collect())
+    found = frozenset(r.part for r in part_counts(texts).filter(toxic).select("part").collect())
+    release(chosen)
+    return found
 
 
 LEDGER = "ledger"
