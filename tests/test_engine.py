@@ -393,3 +393,16 @@ def test_reports_make_what_they_judge_once(spark, monkeypatch):
 def test_nothing_is_made_of_keys_before_they_are_dealt_out(spark):
     read = plan(queries.s1_overlap_email_wins(spark, DATA)).split("Repartition")[1]
     assert "regexp_extract_all" not in read and "concat" not in read
+
+
+def test_ner_makes_each_document_once(spark, monkeypatch):
+    made, docs = spark.sparkContext.accumulator(0), queries.docs
+
+    def count(text: str) -> str:
+        made.add(1)
+        return text
+
+    seen = F.udf(count).asNondeterministic()
+    monkeypatch.setattr(queries, "docs", lambda *a: docs(*a).withColumn("text", seen("text")))
+    assert {r.entity_type for r in queries.ner_train_eval(spark, DATA).collect()} == {"PERSON", "ADDRESS"}
+    assert made.value == docs(spark, DATA).count()
