@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -119,6 +120,41 @@ def test_suffix_array_and_prefixes():
             assert lcp[b] == same
 
 
+@pytest.mark.parametrize("kind", ["words", "one letter", "falling"])
+def test_suffix_array_takes_few_steps(kind):
+    r = np.random.default_rng(5)
+    if kind == "words":  # many different symbols once substrings are named
+        known = [r.integers(97, 123, r.integers(3, 9)).tolist() + [32] for _ in range(3000)]
+        t = np.array([x for i in r.zipf(1.3, 30_000) % 3000 for x in known[i]] + [0])
+    else:  # suffixes of one kind in long runs
+        t = np.append(np.full(20_000, 5) if kind == "one letter" else np.tile(np.arange(2000, 0, -1), 10), 0)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        sa = suffix_array(t, int(t.max()) + 1)
+    finally:
+        sys.setprofile(before)
+    assert calls < 5000
+    assert np.bincount(sa, minlength=len(t)).tolist() == [1] * len(t)
+    rank = np.empty(len(t), np.int64)
+    rank[sa] = np.arange(len(t))
+    a, b = sa[1:-1], sa[2:]  # in order: by their symbol, then by the order of what follows
+    assert ((t[a] < t[b]) | (t[a] == t[b]) & (rank[a + 1] < rank[b + 1])).all()
+
+
+@pytest.mark.parametrize("n", [77, 100, 16_383, 16_384, 16_460, 16_461, 50_000])
+def test_least_of_values_in_a_row(n):
+    h = np.random.default_rng(n).integers(0, 1 << 63, n, np.uint64)
+    for w in (1, 2, 9, 77):
+        assert (substrings.least(h, w) == np.lib.stride_tricks.sliding_window_view(h, w).min(1)).all()
+
+
 # ---- WARC
 
 

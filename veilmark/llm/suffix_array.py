@@ -1,9 +1,10 @@
 """Suffix arrays by induced sorting (SA-IS), and permuted common prefixes, in whole-array steps.
 
 Suffixes are classified as smaller or larger than their right neighbour; the substrings between leftmost smaller
-ones are sorted by induction, named, and sorted recursively; from their order the whole array is induced in two
-linear scans.  A scan takes a run of buckets at a time: as long as none of its entries induces into the run
-itself, its order is known, and one vector step places all that it induces.
+ones are sorted by induction, named, and sorted recursively; from their order that of the larger suffixes is induced,
+and from theirs that of all smaller ones.  Scans entry by entry would be slow here, and scans by runs of buckets take
+tens of thousands of small steps where symbols are many.  So a kind is induced all at once: its suffixes are sorted by
+their symbol and the slot of the right neighbour, and those that tie by slots farther on, in rounds that double.
 """
 
 from __future__ import annotations
@@ -22,108 +23,79 @@ def _smaller(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _place(sa: np.ndarray, edge: np.ndarray, bucket: np.ndarray, suffix: np.ndarray, sign: int) -> None:
-    """Put suffixes, in this order, at the buckets' heads (sign 1) or tails (sign -1), which move on."""
-    if not len(bucket):
+def _by_pair(a: np.ndarray, b: np.ndarray, top_a: int, top_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (a, b), values below these tops, and where in it another pair begins."""
+    bits_b, bits = int(top_b).bit_length(), len(a).bit_length()
+    used = int(top_a).bit_length() + bits_b
+    if used > 63:
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        return order, np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    key = a.astype(np.int64) << bits_b
+    key |= b
+    if used + bits <= 63:  # numbers that hold their own index are sorted faster than an index by numbers
+        key <<= bits
+        key |= np.arange(len(a))
+        key.sort()
+        order = key & ((1 << bits) - 1)
+        key >>= bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    return order, np.concatenate([[True], key[1:] != key[:-1]])
+
+
+def _sizes(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
+def _induce_kind(t: np.ndarray, at: np.ndarray, slot: np.ndarray, steps: np.ndarray, low: np.ndarray) -> None:
+    """Slots of all suffixes of one kind (at) from those of the other kind, which end their runs.
+
+    ``low``: each bucket's first slot for this kind.  Suffixes that tie share the first slot of their group.  Once
+    ``known`` symbols decide the order, those that still tie are told apart by the slots that far on, and twice as
+    many decide it: so runs of any length take few rounds.
+    """
+    if not len(at):
         return
-    order = np.argsort(bucket.astype(np.uint16) if len(edge) <= 65536 else bucket, kind="stable")
-    b, s = bucket[order], suffix[order]
-    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    count = np.diff(np.append(first, len(b)))
-    rank = np.arange(len(b)) - np.repeat(first, count)
-    sa[edge[b] + sign * rank] = s
-    edge[b[first]] += sign * count
-
-
-def _induce(t: np.ndarray, smaller: np.ndarray, start: np.ndarray, end: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The array that these leftmost smaller suffixes, in this order within each bucket, induce.  ``end``: past the last."""
-    n, k = len(t), len(start)
-    sa = np.full(n, -1, np.int64 if n >= 1 << 31 else np.int32)
-    tail = end - 1
-    _place(sa, tail, t[lms[::-1]], lms[::-1], -1)
-
-    def sources(part: np.ndarray, want_smaller: bool) -> np.ndarray:
-        left = part[part > 0] - 1
-        return left[smaller[left] == want_smaller]
-
-    head, c, width = start.copy(), 0, 1
-    while c < k:  # larger suffixes, from the left
-        stop = min(k, c + width)
-        left = sources(sa[start[c] : end[stop - 1]], False)
-        bucket = t[left]
-        inside = bucket < stop
-        if not inside.any():
-            _place(sa, head, bucket, left, 1)
-            c, width = stop, 2 * width
-            continue
-        stop = int(bucket[inside].min())
-        width = max(1, width // 2)
-        if stop > c:
-            left = sources(sa[start[c] : end[stop - 1]], False)
-            _place(sa, head, t[left], left, 1)
-            c = stop
-            continue
-        low = start[c]
-        while low < head[c]:  # the bucket feeds itself: wave after wave
-            high = head[c]
-            left = sources(sa[low:high], False)
-            _place(sa, head, t[left], left, 1)
-            low = high
-        left = sources(sa[tail[c] + 1 : end[c]], False)
-        _place(sa, head, t[left], left, 1)
-        c += 1
-
-    last = sa[0]
-    sa[np.repeat(head, end - head) + np.arange(int((end - head).sum())) - np.repeat(np.cumsum(end - head) - (end - head), end - head)] = -1
-    sa[0] = last
-    tail, c, width = end - 1, k, 1
-    while c > 0:  # smaller suffixes, from the right
-        stop = max(0, c - width)
-        left = sources(sa[start[stop] : end[c - 1]][::-1], True)
-        bucket = t[left]
-        inside = bucket >= stop
-        if not inside.any():
-            _place(sa, tail, bucket, left, -1)
-            c, width = stop, 2 * width
-            continue
-        stop = int(bucket[inside].max()) + 1
-        width = max(1, width // 2)
-        if stop < c:
-            left = sources(sa[start[stop] : end[c - 1]][::-1], True)
-            _place(sa, tail, t[left], left, -1)
-            c = stop
-            continue
-        b = c - 1
-        high = end[b] - 1
-        while high > tail[b]:
-            low = tail[b]
-            left = sources(sa[low + 1 : high + 1][::-1], True)
-            _place(sa, tail, t[left], left, -1)
-            high = low
-        left = sources(sa[start[b] : head[b]][::-1], True)
-        _place(sa, tail, t[left], left, -1)
-        c = b
-    return sa
-
-
-def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
-    """A number for each leftmost smaller substring, in text order, by rank; and how many differ."""
-    size = np.zeros(len(t), np.int32)
-    size[lms[:-1]] = np.diff(lms) + 1
-    size[lms[-1]] = 1
-    a, b = ordered[:-1], ordered[1:]
-    same = size[a] == size[b]
-    active, offset = np.flatnonzero(same), 0
-    while len(active):
-        x, y = a[active], b[active]
-        equal = t[x + offset] == t[y + offset]
-        same[active[~equal]] = False
-        offset += 1
-        active = active[equal & (size[x] > offset)]
-    rank = np.concatenate([[0], np.cumsum(~same)])
-    name = np.zeros(len(t), np.int32)
-    name[ordered] = rank
-    return name[lms], int(rank[-1]) + 1
+    here = t[at]
+    order, new = _by_pair(here, slot[at + 1], len(low), len(slot))
+    at, here = at[order], here[order]
+    bucket = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+    group = np.flatnonzero(new)
+    size = _sizes(group, len(at))
+    slot[at] = np.repeat(group, size) + np.repeat(low[here[bucket]] - bucket, _sizes(bucket, len(at)))
+    known = 2
+    at = at[np.repeat(size > 1, size)]
+    at = at[steps[at] >= known]
+    while len(at):
+        mine = slot[at]
+        order, new = _by_pair(mine, slot[at + known], len(slot), len(slot))
+        at, mine = at[order], mine[order]
+        before = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        group = np.flatnonzero(new)
+        size = _sizes(group, len(at))
+        slot[at] = mine + np.repeat(group, size) - np.repeat(before, _sizes(before, len(at)))
+        known *= 2
+        at = at[np.repeat(size > 1, size)]
+        at = at[steps[at] >= known]
+
+
+def _induce(t: np.ndarray, smaller: np.ndarray, start: np.ndarray, lms: np.ndarray, lms_slot: np.ndarray) -> np.ndarray:
+    """The slot of each suffix that these slots of the leftmost smaller ones induce; where those tie, others may."""
+    n = len(t)
+    larger_at, smaller_at = np.flatnonzero(~smaller), np.flatnonzero(smaller[:-1])
+    middle = start + np.bincount(t[larger_at], minlength=len(start))  # the larger ones of a bucket come first
+    slot = np.zeros(n, np.int64 if n >= 1 << 31 else np.int32)
+    slot[larger_at] = start[t[larger_at]]
+    slot[lms] = lms_slot
+    run = np.diff(np.concatenate([[0], np.flatnonzero(smaller[1:] != smaller[:-1]) + 1, [n]]))
+    steps = (np.repeat(np.cumsum(run), run) - np.arange(n)).astype(slot.dtype)  # to the next suffix of the other kind
+    _induce_kind(t, larger_at, slot, steps, start)
+    slot[smaller_at] = middle[t[smaller_at]]
+    slot[-1] = 0
+    _induce_kind(t, smaller_at, slot, steps, middle)
+    return slot
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -140,13 +112,22 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     is_lms[0] = False
     is_lms[1:] &= ~smaller[:-1]
     lms = np.flatnonzero(is_lms)
-    sa = _induce(t, smaller, start, end, lms)
-    ordered = sa[is_lms[sa]]
-    if len(lms) > 1:
-        name, found = _names(t, lms, ordered)
-        if found < len(lms):
-            ordered = lms[suffix_array(name, found)]
-    return _induce(t, smaller, start, end, ordered)
+    per = np.bincount(t[lms], minlength=k)
+    first = end - per
+    slot = _induce(t, smaller, start, lms, first[t[lms]])[lms]
+    used = np.zeros(n, bool)  # substrings that are equal share a slot
+    used[slot] = True
+    name = (np.cumsum(used, dtype=slot.dtype) - 1)[slot]
+    found = int(name.max()) + 1
+    if found < len(lms):
+        ordered = lms[suffix_array(name, found)]
+    else:
+        ordered = np.empty_like(lms)
+        ordered[name] = lms
+    slot = _induce(t, smaller, start, ordered, np.arange(len(ordered)) + (first - np.cumsum(per) + per)[t[ordered]])
+    sa = np.empty(n, slot.dtype)
+    sa[slot] = np.arange(n)
+    return sa
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cap: int) -> np.ndarray:
