@@ -61,10 +61,11 @@ def _induce_kind(t: np.ndarray, at: np.ndarray, slot: np.ndarray, steps: np.ndar
     here = t[at]
     order, new = _by_pair(here, slot[at + 1], len(low), len(slot))
     at, here = at[order], here[order]
+    del order
     bucket = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
     group = np.flatnonzero(new)
     size = _sizes(group, len(at))
-    slot[at] = np.repeat(group, size) + np.repeat(low[here[bucket]] - bucket, _sizes(bucket, len(at)))
+    slot[at] = np.repeat(group.astype(slot.dtype), size) + np.repeat((low[here[bucket]] - bucket).astype(slot.dtype), _sizes(bucket, len(at)))
     known = 2
     at = at[np.repeat(size > 1, size)]
     at = at[steps[at] >= known]
@@ -84,17 +85,20 @@ def _induce_kind(t: np.ndarray, at: np.ndarray, slot: np.ndarray, steps: np.ndar
 def _induce(t: np.ndarray, smaller: np.ndarray, start: np.ndarray, lms: np.ndarray, lms_slot: np.ndarray) -> np.ndarray:
     """The slot of each suffix that these slots of the leftmost smaller ones induce; where those tie, others may."""
     n = len(t)
-    larger_at, smaller_at = np.flatnonzero(~smaller), np.flatnonzero(smaller[:-1])
-    middle = start + np.bincount(t[larger_at], minlength=len(start))  # the larger ones of a bucket come first
-    slot = np.zeros(n, np.int64 if n >= 1 << 31 else np.int32)
-    slot[larger_at] = start[t[larger_at]]
+    kind = np.int64 if n >= 1 << 31 else np.int32
+    slot = np.zeros(n, kind)
+    edge = np.append(np.flatnonzero(smaller[1:] != smaller[:-1]) + 1, n)
+    steps = np.repeat(edge.astype(kind), np.diff(edge, prepend=0))
+    steps -= np.arange(n, dtype=kind)  # to the next suffix of the other kind
+    at = np.flatnonzero(~smaller).astype(kind)
+    middle = start + np.bincount(t[at], minlength=len(start))  # the larger ones of a bucket come first
+    slot[at] = start[t[at]]
     slot[lms] = lms_slot
-    run = np.diff(np.concatenate([[0], np.flatnonzero(smaller[1:] != smaller[:-1]) + 1, [n]]))
-    steps = (np.repeat(np.cumsum(run), run) - np.arange(n)).astype(slot.dtype)  # to the next suffix of the other kind
-    _induce_kind(t, larger_at, slot, steps, start)
-    slot[smaller_at] = middle[t[smaller_at]]
+    _induce_kind(t, at, slot, steps, start)
+    at = np.flatnonzero(smaller[:-1]).astype(kind)
+    slot[at] = middle[t[at]]
     slot[-1] = 0
-    _induce_kind(t, smaller_at, slot, steps, middle)
+    _induce_kind(t, at, slot, steps, middle)
     return slot
 
 
@@ -126,7 +130,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         ordered[name] = lms
     slot = _induce(t, smaller, start, ordered, np.arange(len(ordered)) + (first - np.cumsum(per) + per)[t[ordered]])
     sa = np.empty(n, slot.dtype)
-    sa[slot] = np.arange(n)
+    sa[slot] = np.arange(n, dtype=slot.dtype)
     return sa
 
 
